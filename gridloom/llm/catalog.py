@@ -1,8 +1,10 @@
 """Registry of the corpus queries and their oracles."""
 
 from gridloom.llm.bpe import op1_bpe
+from gridloom.llm.pii import op5_pii
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_pii": op5_pii,
 }
 ORACLES: dict[str, str] = {}
