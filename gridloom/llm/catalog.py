@@ -1,10 +1,12 @@
 """Registry of the corpus queries and their oracles."""
 
 from gridloom.llm.bpe import op1_bpe
+from gridloom.llm.minhash import op2_near_duplicates
 from gridloom.llm.pii import op5_pii
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_near_duplicates": op2_near_duplicates,
     "op5_pii": op5_pii,
 }
 ORACLES: dict[str, str] = {}

@@ -65,3 +65,78 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8, a null as an empty one."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x if x is not None else b"" for x in column.cast(kind).to_pylist()]
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, kept for a worker's later texts up to ``limit`` words."""
+
+    def __init__(self, limit: int = 500_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        value = self[word] = xxh64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def mix64(x):
+    """A bijection of 64-bit numbers under which all bits depend on all (splitmix64's finish)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: The largest Bloom filter that is broadcast: 2**27 bits, 16 MiB, whatever the input's size.
+BLOOM_BITS_MOST = 27
+
+
+class Bloom:
+    """A set of 64-bit keys with false positives: only ever a first look before an exact join."""
+
+    def __init__(self, words, bits: int):
+        self.words, self.bits = words, bits
+
+    def has(self, keys):
+        import numpy as np
+
+        keys = mix64(np.asarray(keys).astype(np.uint64))
+        found = np.ones(len(keys), dtype=bool)
+        for turn in (0, 29):
+            at = (keys >> np.uint64(turn)) & np.uint64((1 << self.bits) - 1)
+            found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+def bloom_of(keys: DataFrame, column: str, count: int) -> Bloom:
+    """A filter of a bigint column, of about 20 bits a key up to ``BLOOM_BITS_MOST``; its size has that fixed bound."""
+    import numpy as np
+
+    bits = min(BLOOM_BITS_MOST, max(12, (20 * max(count, 1)).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        for batch in batches:
+            hashed = mix64(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64))
+            for turn in (0, 29):
+                at = (hashed >> np.uint64(turn)) & np.uint64((1 << bits) - 1)
+                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at].view(np.int64))], names=["at", "word"])
+
+    from pyspark.sql import functions as F
+
+    rows = keys.select(F.col(column).cast("long").alias("k")).where("k IS NOT NULL").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    words[rows.column("at").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
+    return Bloom(words, bits)
