@@ -7,6 +7,7 @@ from gridloom.llm.minhash import op2_near_duplicates
 from gridloom.llm.packing import op6_packing
 from gridloom.llm.pii import op5_pii
 from gridloom.llm.quality import op7_quality_rules
+from gridloom.llm.repeats import op8_repeats
 from gridloom.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_repeats": op8_repeats,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
