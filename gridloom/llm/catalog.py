@@ -1,6 +1,7 @@
 """Registry of the corpus queries and their oracles."""
 
 from gridloom.llm.bpe import op1_bpe
+from gridloom.llm.hpylm import op9_hpylm
 from gridloom.llm.knn import ORACLE_OP4, op4_top_k
 from gridloom.llm.linededup import ORACLE_OP3, op3_line_dedup
 from gridloom.llm.minhash import op2_near_duplicates
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_repeats": op8_repeats,
+    "op9_hpylm": op9_hpylm,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {
