@@ -29,5 +29,8 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(top, name)
                     out.write(path, os.path.relpath(path, _ROOT))
+        for name in sorted(os.listdir(_ROOT)):  # top-level modules, whose functions may be sent to workers by name
+            if name.endswith(".py") and not name.startswith((".", "bench")):
+                out.write(os.path.join(_ROOT, name), name)
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
