@@ -1,5 +1,6 @@
 """Registry of the corpus queries and their oracles."""
 
+import corpus_pipeline
 from gridloom.llm.bpe import op1_bpe
 from gridloom.llm.hpylm import op9_hpylm
 from gridloom.llm.knn import ORACLE_OP4, op4_top_k
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_hpylm": op9_hpylm,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": ORACLE_OP3,

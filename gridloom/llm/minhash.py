@@ -116,7 +116,7 @@ def sign(docs: DataFrame, words: int, id: str = "doc_id", text: str = "text") ->
                 sig.append(_pack(m))
             yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "n_shingles", "set_a", "set_b", "bands", "sig"])
 
-    return docs.select(F.col(id).cast("long").alias(id), text).mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
+    return docs.select(F.col(id).cast("long").alias(id), text).where(F.col(id).isNotNull()).mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, count: int, words: int, id: str, text: str) -> DataFrame:
