@@ -34,9 +34,10 @@ class HyperLogLog:
         rest = hashes << np.uint64(p)
         rank = np.full(len(hashes), 65 - p, dtype=np.uint8)
         some = rest > 0
-        # log2 of the top 53 bits is exact enough to find the leading one
-        high = (rest[some] >> np.uint64(11)).astype(np.float64)
-        zeros = np.where(high > 0, 52 - np.floor(np.log2(np.maximum(high, 1))), 53 + 10 - np.floor(np.log2(np.maximum((rest[some] & np.uint64(2047)).astype(np.float64), 1))))
+        # frexp gives the length in bits of what a double holds exactly.
+        high, low = rest[some] >> np.uint64(11), rest[some] & np.uint64(2047)
+        length = np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 11, np.frexp(low.astype(np.float64))[1])
+        zeros = 64 - length
         rank[some] = np.minimum(zeros + 1, 65 - p).astype(np.uint8)
         return (hashes >> np.uint64(64 - p)).astype(np.int64), rank
 

@@ -54,7 +54,7 @@ class TDigest:
             at = max(at + 1, int(np.searchsorted(upto, total * self._reach(done / total), side="right")))
         self.weights = np.add.reduceat(weights, starts)
         middle = np.add.reduceat(means * weights, starts) / self.weights
-        ends = np.append(starts[1:], len(means)) - 1
+        ends = np.array([*starts[1:], len(means)], dtype=np.int64) - 1
         self.means = np.clip(middle, means[starts], means[ends])
         self.low, self.high = min(self.low, low), max(self.high, high)
         return self

@@ -25,7 +25,7 @@ _PACKAGE = f"{_SCHEMAS}/package/2006"
 _KIND = "application/vnd.openxmlformats"
 
 
-def tag(name: str, inner: str = "", **attributes: str | int) -> str:
+def tag(name: str, inner: str = "", /, **attributes: str | int) -> str:
     """An element; two underscores in an attribute's name stand for a colon."""
     own = "".join(f" {k.replace('__', ':')}='{xml_escape(str(v))}'" for k, v in attributes.items())
     return f"<{name}{own}>{inner}</{name}>" if inner else f"<{name}{own}/>"
