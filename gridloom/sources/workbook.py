@@ -13,6 +13,7 @@ from xml.etree import ElementTree as ET
 from gridloom.errors import SheetError
 from gridloom.functions.semantics import column_index, is_date_format, xml_decode
 from gridloom.sources import sidecar
+from gridloom.sources.store import open_input
 
 #: Bytes that a row, and the dictionary, may take; forged files end here.
 MOST_ROW, MOST_STRINGS = 16 << 20, 320 << 20
@@ -27,22 +28,10 @@ _TEXT = re.compile(rb"<t(?:\s[^>]*)?>(.*?)</t\s*>", re.S)
 _PHONETIC = re.compile(rb"<rPh\b.*?</rPh\s*>", re.S)
 
 
-def open_path(path: str):
-    """A seekable file: local, or in any store that Arrow can open."""
-    if "://" not in path:
-        return open(path, "rb")
-    if path.startswith("file://"):
-        return open(path[7:], "rb")
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
-    return store.open_input_file(inner)
-
-
 class Workbook:
     def __init__(self, path: str, date1904: bool | None = None):
         self.path = path
-        self.file = open_path(path)
+        self.file = open_input(path)
         try:
             self.zip = zipfile.ZipFile(self.file)
             book = ET.fromstring(self.zip.read("xl/workbook.xml"))

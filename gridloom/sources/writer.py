@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-import os
 import re
 import struct
 import zlib
@@ -13,7 +12,8 @@ from collections.abc import Callable, Iterable
 from gridloom.errors import SheetError
 from gridloom.functions.semantics import EPOCH_SECONDS, NUMERIC, clean_sheet_name, column_letters, xml_escape
 from gridloom.functions.sketches import HyperLogLog, TDigest
-from gridloom.sources import sidecar
+from gridloom.sources import sidecar, store
+from gridloom.sources.styles import Styles
 
 FULL_SHEET = 1_048_575
 _NUMBER = re.compile(NUMERIC)
@@ -78,8 +78,8 @@ def canonical(x) -> str:
     return str(x)
 
 
-def cell(x, ref: str) -> str:
-    r = f' r="{ref}"' if ref else ""
+def cell(x, ref: str, style: int = 0) -> str:
+    r = (f' r="{ref}"' if ref else "") + (f' s="{style}"' if style else "")
     if x is None or x == "":
         return f"<c{r}/>" if not ref else ""
     if isinstance(x, bool):
@@ -89,7 +89,7 @@ def cell(x, ref: str) -> str:
     if isinstance(x, (int, float)):
         return f"<c{r}><v>{number_text(x)}</v></c>"
     if isinstance(x, (dt.date, dt.datetime)):
-        return f'<c{r} s="1"><v>{number_text(serial(x))}</v></c>'
+        return f"<c{r if style else r + ' s=\"1\"'}><v>{number_text(serial(x))}</v></c>"
     text = str(x)
     if _NUMBER.fullmatch(text) and not stays_text(text):
         return f"<c{r}><v>{text.strip()}</v></c>"
@@ -129,7 +129,9 @@ class _Tracked:
 class WorkbookWriter:
     """``start_sheet``, ``write_row`` as often as needed, ``finish``. Rows beyond a sheet's ceiling go on in a new one."""
 
-    def __init__(self, path: str, every: int = 10_000, stats: Iterable[str | int] = (), sketches: Iterable[str | int] = (), group_column: str | int | None = None, compact: bool = False, level: int = 5, on_progress: Callable[[int, int], None] | None = None, progress_every: int = 10_000):
+    def __init__(self, path: str, every: int = 10_000, stats: Iterable[str | int] = (), sketches: Iterable[str | int] = (), group_column: str | int | None = None, compact: bool = False, level: int = 5, on_progress: Callable[[int, int], None] | None = None, progress_every: int = 10_000, formats: dict[str | int, str | int] | None = None, bold_header: bool = False, freeze: tuple[int, int] = (0, 0), widths: dict[str | int, float] | None = None, autofilter: bool = False):
+        if min(freeze) < 0:
+            raise SheetError("badFreeze", "rows and columns to freeze can't be fewer than none")
         if every < 1:
             raise SheetError("badPeriod", "a block has at least one row")
         if not 1 <= level <= 9:
@@ -137,8 +139,9 @@ class WorkbookWriter:
         self.path, self.every, self.level, self.compact = path, every, level, compact
         self.stats, self.sketches, self.group_column = list(stats), list(sketches), group_column
         self.on_progress, self.progress_every = on_progress, progress_every
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-        self.file = open(path, "wb")
+        self.formats, self.bold_header, self.freeze, self.widths, self.autofilter = formats or {}, bold_header, freeze, widths or {}, autofilter
+        self.look = Styles()
+        self.file = store.open_output(path)
         self.entries: list[tuple[str, int, int, int, int]] = []
         self.sheets: list[tuple[str, sidecar.SheetIndex]] = []
         self.at = self.rows = 0
@@ -203,7 +206,12 @@ class WorkbookWriter:
             unique, k = f"{name[: 31 - len(str(k)) - 3]} ({k})", k + 1
         path = f"xl/worksheets/sheet{len(self.sheets) + 1}.xml"
         self._begin(path)
-        self._data(document(f"<worksheet xmlns='{_MAIN}'><sheetData>").encode())
+        self.styled = {self._column(c) - 1: self.look.style(self.look.format(f)) for c, f in self.formats.items()}
+        rows, columns = self.freeze
+        pane = tag("pane", **({"xSplit": columns} if columns else {}), **({"ySplit": rows} if rows else {}), topLeftCell=f"{column_letters(columns)}{rows + 1}", state="frozen") if rows or columns else ""
+        view = tag("sheetViews", tag("sheetView", pane, workbookViewId=0)) if pane else ""
+        sizes = "".join(tag("col", min=self._column(c), max=self._column(c), width=w, customWidth=1) for c, w in sorted(self.widths.items(), key=lambda x: self._column(x[0])))
+        self._data(document(f"<worksheet xmlns='{_MAIN}'>{view}{tag('cols', sizes) if sizes else ''}<sheetData>").encode())
         self.index = sidecar.SheetIndex(path, 0, 0, crcs=[])
         self.sheets.append((unique, self.index))
         self.tracked = {self._column(c): _Tracked() for c in self.stats}
@@ -213,15 +221,16 @@ class WorkbookWriter:
         self.since, self.group, self.open = 0, None, True
         for c, t in self.tracked.items():
             t.add(as_number(self.headers[c - 1]), header=True)
-        self._row(self.headers)
+        bold = self.look.style(0, True) if self.bold_header else 0
+        self._row(self.headers, dict.fromkeys(range(len(self.headers)), bold))
 
-    def _row(self, row: Iterable) -> None:
+    def _row(self, row: Iterable, styles: dict[int, int]) -> None:
         self.index.total_rows += 1
         n = self.index.total_rows
         if self.compact:
-            self._data(("<row>" + "".join(cell(x, "") for x in row) + "</row>").encode())
+            self._data(("<row>" + "".join(cell(x, "", styles.get(i, 0)) for i, x in enumerate(row)) + "</row>").encode())
         else:
-            self._data((f'<row r="{n}">' + "".join(cell(x, f"{column_letters(i)}{n}") for i, x in enumerate(row)) + "</row>").encode())
+            self._data((f'<row r="{n}">' + "".join(cell(x, f"{column_letters(i)}{n}", styles.get(i, 0)) for i, x in enumerate(row)) + "</row>").encode())
 
     def write_row(self, row: Iterable) -> None:
         if not self.open:
@@ -243,7 +252,7 @@ class WorkbookWriter:
             staged.append(row[c - 1] if c <= len(row) else None)
             if len(staged) >= 4096:
                 self._sketch(c)
-        self._row(row)
+        self._row(row, self.styled)
         self.rows += 1
         self.since += 1
         if self.since >= self.every:
@@ -271,7 +280,8 @@ class WorkbookWriter:
         self.since = 0
 
     def _close_sheet(self) -> None:
-        self._data(b"</sheetData></worksheet>")
+        last = f"{column_letters(max(0, len(self.headers) - 1))}{self.index.total_rows}"
+        self._data(f"</sheetData>{tag('autoFilter', ref=f'A1:{last}') if self.autofilter else ''}</worksheet>".encode())
         self._end()
         self.index.crc = self.crc
         for c, t in self.tracked.items():
@@ -291,9 +301,7 @@ class WorkbookWriter:
             self.abort()
             raise SheetError("emptyWorkbook", "a workbook has a sheet")
         ids = range(1, len(self.sheets) + 1)
-        plain, dated = tag("xf", numFmtId=0), tag("xf", numFmtId=22, applyNumberFormat=1)
-        single = "".join(tag(many, tag(one), count=1) for many, one in (("fonts", "font"), ("fills", "fill"), ("borders", "border"), ("cellStyleXfs", "xf")))
-        self._text("xl/styles.xml", document(tag("styleSheet", single + tag("cellXfs", plain + dated, count=2), xmlns=_MAIN)))
+        self._text("xl/styles.xml", document(self.look.xml(tag, _MAIN)))
         self._text(sidecar.PART, sidecar.encode(sidecar.Index(self.every, [s for _, s in self.sheets])))
         listed = "".join(tag("sheet", name=n, sheetId=i, r__id=f"rId{i}") for i, (n, _) in zip(ids, self.sheets, strict=True))
         self._text("xl/workbook.xml", document(tag("workbook", tag("sheets", listed), xmlns=_MAIN, xmlns__r=_OFFICE)))
@@ -320,6 +328,5 @@ class WorkbookWriter:
     def abort(self) -> None:
         if not self.file.closed:
             self.file.close()
-        if os.path.exists(self.path):
-            os.remove(self.path)
+        store.remove(self.path)
         self.done = True

@@ -5,7 +5,9 @@ filters on ``_row`` or on a number column rule out aren't read at all; a sheet
 without an index is one deflate stream, hence one partition. Options: sheet,
 sheetIndex, shards, numbers (columns to add as ``NAME__num`` doubles), raw
 (cells with their types), header (false keeps row 1), dates (styled cells as
-timestamps' text), chain (false reads one sheet of a chain only).
+timestamps' text), chain (false reads one sheet of a chain only), rttMicros and
+bandwidth (a store's latency and bytes a second: gaps cheaper than a request
+are read through).
 
 Writing: every task writes a workbook of its own into the folder, indexed as it
 is written; a task that fails leaves nothing. Options: every, stats, sketches,
@@ -14,7 +16,6 @@ sheet, compact, level.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ from pyspark.sql.types import StructType
 from gridloom.errors import SheetError
 from gridloom.functions.semantics import EPOCH_SECONDS, NUMERIC
 from gridloom.operators.chain import chains, offsets
+from gridloom.sources import store
 from gridloom.sources.workbook import Workbook, cells
 from gridloom.sources.writer import WorkbookWriter
 
@@ -136,13 +138,15 @@ class SheetReader(DataSourceReader):
                 if own is None:
                     out.append(Stretch(entry, 0, -1, 1, None, shift[member], member))
                     continue
+                # Up to so many bytes between runs are read through, as a new request would take as long.
+                bridge = int(float(self.options.get("rttMicros", 0)) / 1e6 * float(self.options.get("bandwidth", 50 << 20)))
                 runs: list[list[int]] = []
                 for block, (first, last, begin, end) in enumerate(own.blocks()):
                     if last >= first and self._fits(own, block, first + shift[member], last + shift[member]):
-                        if runs and runs[-1][1] == begin:
-                            runs[-1][1], runs[-1][3], runs[-1][4] = end, last, runs[-1][4] + 1
+                        if runs and begin - runs[-1][1] <= bridge:
+                            runs[-1][1], runs[-1][3] = end, last
                         else:
-                            runs.append([begin, end, first, last, 1])
+                            runs.append([begin, end, first, last])
                 out += self._cut(own, entry, runs, shift[member], member)
             return out or [Stretch(self.members[0], 0, 0, 1, 0, 0, 0)]
         finally:
@@ -163,13 +167,12 @@ class SheetReader(DataSourceReader):
 
     def _cut(self, own, entry: str, runs: list[list[int]], shift: int, member: int) -> list[Stretch]:
         """Runs of blocks, cut so that there are about as many stretches as were asked for."""
-        wanted = int(self.options.get("shards", 16))
-        blocks = max(1, -(-sum(r[4] for r in runs) // max(1, wanted)))
+        inner = [[b for b in own.blocks() if b[0] >= first and b[1] <= last] for _, _, first, last in runs]
+        size = max(1, -(-sum(map(len, inner)) // max(1, int(self.options.get("shards", 16)))))
         out = []
-        for begin, end, first, last, _ in runs:
-            inner = [b for b in own.blocks() if b[0] >= first and b[1] <= last]
-            for at in range(0, len(inner), blocks):
-                part = inner[at : at + blocks]
+        for blocks in inner:
+            for at in range(0, len(blocks), size):
+                part = blocks[at : at + size]
                 out.append(Stretch(entry, part[0][2], part[-1][3], part[0][0], part[-1][1], shift, member))
         return out
 
@@ -237,16 +240,14 @@ class FolderWriter(DataSourceArrowWriter):
     """Workbooks in a folder that all executors share, renamed into place when all tasks are done."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
-        path = options["path"]
-        self.folder = path[7:] if path.startswith("file://") else path
+        self.folder = options["path"]
         self.options, self.names, self.overwrite = dict(options), [f.name for f in schema.fields], overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        os.makedirs(self.folder, exist_ok=True)
-        final = os.path.join(self.folder, f"part-{task.partitionId():05d}.xlsx")
+        final = store.joined(self.folder, f"part-{task.partitionId():05d}.xlsx")
         temporary = f"{final}.{task.taskAttemptId()}.tmp"
         out = WorkbookWriter(temporary, every=int(self.options.get("every", 10_000)), stats=_names(self.options.get("stats")), sketches=_names(self.options.get("sketches")), compact=_flag(self.options, "compact", False), level=int(self.options.get("level", 5)))
         try:
@@ -261,18 +262,18 @@ class FolderWriter(DataSourceArrowWriter):
         return Written(temporary, final, done["rows"], done["bytes"])
 
     def commit(self, messages: list) -> None:
-        if self.overwrite and os.path.isdir(self.folder):
-            for name in os.listdir(self.folder):
+        if self.overwrite:
+            for name in store.names(self.folder):
                 if name.endswith(".xlsx"):
-                    os.remove(os.path.join(self.folder, name))
+                    store.remove(store.joined(self.folder, name))
         for m in messages:
             if m is not None:
-                os.replace(m.temporary, m.final)
+                store.move(m.temporary, m.final)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m is not None:
+                store.remove(m.temporary)
 
 
 def register(spark: SparkSession) -> None:

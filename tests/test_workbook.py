@@ -184,6 +184,57 @@ def test_group_aligned_blocks_and_errors(tmp_path):
             bad()
 
 
+def test_looks(tmp_path):
+    out = WorkbookWriter(str(tmp_path / "a.xlsx"), formats={"when": "isodate", 2: "money", "x": "0.0%"}, bold_header=True, freeze=(1, 0), widths={"x": 30}, autofilter=True)
+    out.start_sheet("s", ["when", "x", "y"])
+    out.write_row([46148, 0.5, 3])
+    out.finish()
+    book = Workbook(str(tmp_path / "a.xlsx"))
+    xml = book.zip.read("xl/worksheets/sheet1.xml").decode()
+    assert "state='frozen'" in xml and "ref='A1:C2'" in xml and "width='30'" in xml
+    row = cells(list(book.raw_rows(book.sheets[0][1]))[1][1])
+    assert row[0][2] in book.date_styles() and row[1][2] not in book.date_styles() and row[2][2] == 0
+    for bad in (lambda: WorkbookWriter(str(tmp_path / "b"), freeze=(-1, 0)), lambda: WorkbookWriter(str(tmp_path / "b"), formats={1: 99}).start_sheet("s", ["a"]), lambda: WorkbookWriter(str(tmp_path / "b"), formats={1: "nosuch"}).start_sheet("s", ["a"])):
+        with pytest.raises(SheetError):
+            bad()
+
+
+def test_sheets_split_and_chain(spark, tmp_path, monkeypatch):
+    from gridloom.operators import chain
+    from gridloom.sources import writer, xlsx
+
+    monkeypatch.setattr(writer, "FULL_SHEET", 100)
+    out = WorkbookWriter(str(tmp_path / "a.xlsx"), every=30, stats=["id"])
+    out.start_sheet("s", ["id", "name"])
+    out.write_rows((i, f"n{i}") for i in range(1, 251))
+    assert out.finish()["sheets"] == 3
+    book = Workbook(str(tmp_path / "a.xlsx"))
+    assert [s.total_rows for s in book.index.sheets] == [100, 100, 53]
+    assert chain.offsets([100, 100, 53]) == [0, 99, 198]
+    source = xlsx.SheetSource({"path": str(tmp_path / "a.xlsx"), "sheetIndex": "1"})
+    reader = xlsx.SheetReader(source, None)
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["id"] for r in rows] == [str(i) for i in range(100, 199)] and rows[0]["_row"] == 2
+    reader.members = [e for _, e in book.sheets]
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["_row"], r["id"]) for r in rows] == [(i + 1, str(i)) for i in range(1, 251)]
+
+
+def test_gaps_are_bridged(tmp_path):
+    from pyspark.sql.datasource import EqualTo
+
+    from gridloom.sources.xlsx import SheetReader, SheetSource
+
+    out = WorkbookWriter(str(tmp_path / "a.xlsx"), every=100, stats=["flag"])
+    out.start_sheet("s", ["id", "flag"])
+    out.write_rows((i, 500 if i <= 100 or i > 1900 else 1) for i in range(1, 2001))
+    out.finish()
+    for extra, want in (({}, 2), ({"rttMicros": "30000"}, 1)):
+        reader = SheetReader(SheetSource({"path": str(tmp_path / "a.xlsx"), "numbers": "flag", "shards": "1", **extra}), None)
+        list(reader.pushFilters([EqualTo(("flag__num",), 500.0)]))
+        assert len(reader.partitions()) == want
+
+
 def test_tokeniser_shapes():
     xml = b'<row r="2"><c r="B2"><v>5</v></c><c/><c r="B2" t="str"><f>1</f><v>last</v></c><c r="E2" t="e"><v>#N/A</v></c><c r="F2" t="inlineStr"><is><r><t>a&amp;</t></r><r><t>&#98;</t></r></is></c><c r="G2" t="s"><v>1</v></c>'
     assert [v for _, v, _ in cells(xml, ["zero", "one"])] == ["", "last", "", "", "#N/A", "a&b", "one"]
