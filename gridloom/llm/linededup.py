@@ -23,6 +23,8 @@ SITES = 5
 #: Part of the threshold within which an estimate isn't trusted; four standard errors at 2**12 registers are 0.065.
 NEAR = 0.25
 REGISTERS_LOG2 = 12
+#: Boilerplate lines, of four numbers each, that are sent to all executors; beyond it they are joined by a shuffle.
+BROADCAST_LINES = 200_000
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -38,11 +40,13 @@ def boilerplate(docs: DataFrame, sites: int = SITES, id: str = "doc_id", text: s
     spread = written(spread.where(F.col("estimate") >= sites * (1 - NEAR)), "spread")
     close = spread.where(F.col("estimate") <= sites * (1 + NEAR)).select("h", "g")
     exact = lines.join(close, ["h", "g"]).select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h", "g")
-    wide = spread.where(F.col("estimate") > sites * (1 + NEAR)).select("h", "g").unionByName(exact)
-    found = lines.join(wide, ["h", "g"])
+    wide = written(spread.where(F.col("estimate") > sites * (1 + NEAR)).select("h", "g").unionByName(exact), "wide")
+    # Where the lines are few, which is counted, their many places aren't shuffled to find them.
+    near = F.broadcast if wide.count() <= BROADCAST_LINES else lambda df: df
+    found = lines.join(near(wide), ["h", "g"])
     # The first place of each line in two plain minima, which are summed up before they are dealt out.
     first = found.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first"))
-    gone = found.join(first, ["h", "g"]).where((F.col("id") != F.col("first.id")) | (F.col("no") != F.col("first.no")))
+    gone = found.join(near(first), ["h", "g"]).where((F.col("id") != F.col("first.id")) | (F.col("no") != F.col("first.no")))
     return gone.groupBy("id").agg(F.collect_set("no").alias("gone"))
 
 
