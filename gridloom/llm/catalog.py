@@ -5,7 +5,7 @@ from gridloom.llm.bpe import op1_bpe
 from gridloom.llm.hpylm import op9_hpylm
 from gridloom.llm.knn import ORACLE_OP4, op4_top_k
 from gridloom.llm.linededup import ORACLE_OP3, op3_line_dedup
-from gridloom.llm.minhash import op2_near_duplicates
+from gridloom.llm.minhash import ORACLE_OP2, op2_near_duplicates
 from gridloom.llm.packing import op6_packing
 from gridloom.llm.pii import op5_pii
 from gridloom.llm.quality import op7_quality_rules
@@ -26,6 +26,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op2_near_duplicates": ORACLE_OP2,
     "op3_line_dedup": ORACLE_OP3,
     "op4_top_k": ORACLE_OP4,
 }

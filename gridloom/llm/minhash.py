@@ -132,33 +132,34 @@ def _sets(docs: DataFrame, ids: DataFrame, count: int, words: int, id: str, text
     return docs.select(F.col(id).cast("long").alias(id), text).where(F.col(id).isNotNull()).mapInArrow(run, "id long, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, distance) of pairs: whether their sets reach the similarity, and one less the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
+        for batch in pieces(batches, "x"):
+            linked, distance = [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
+                both = np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            own = batch.filter(pa.array(keep, pa.bool_()))
-            yield own.select(["a", "b"])
+                linked.append(100 * shared >= percent * (len(both) - shared))
+                distance.append(1.0 - shared / (len(both) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], names=["a", "b", "linked", "distance"])
 
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, distance double")
+
 
+def _across(members: DataFrame, floor: float, best: int | None, reach: float) -> DataFrame:
+    """Pairs of different components within a band, by blocks; each class's ``best`` likeliest, or all above the floor.
 
-def _across(members: DataFrame, floor: float, best: int | None) -> DataFrame:
-    """Pairs of different components within a band, by blocks; each class's ``best`` likeliest, or all above the floor."""
+    Both kinds leave out pairs whose distances from the same leader differ by
+    more than ``reach``: one less the similarity is a metric, so these are
+    further than that from each other.
+    """
 
-    def compare(ids, comps, sigs, sides) -> tuple[np.ndarray, np.ndarray]:
+    def compare(ids, comps, sigs, sides, leaders, far) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(sides & 1), np.flatnonzero(sides & 2)
         found_a, found_b = [], []
         names, size = np.unique(comps, return_counts=True)
@@ -171,6 +172,7 @@ def _across(members: DataFrame, floor: float, best: int | None) -> DataFrame:
             rows = left[at : at + step]
             value = estimates(sigs[rows][:, None, :], sigs[right][None, :, :])
             value[comps[rows][:, None] == comps[right][None, :]] = -1
+            value[(leaders[rows][:, None] == leaders[right][None, :]) & (np.abs(far[rows][:, None] - far[right][None, :]) > reach + 1e-9)] = -1
             i, j = np.nonzero(value >= floor)
             if best is not None and len(i):
                 order = np.lexsort((-value[i, j], i))
@@ -191,12 +193,12 @@ def _across(members: DataFrame, floor: float, best: int | None) -> DataFrame:
             key = rows.column("part").to_numpy()
             cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
             stop = len(key) if end else (int(cut[-1]) if len(cut) else 0)
-            ids, comps, sides = (rows.column(c).to_numpy() for c in ("id", "component", "side"))
+            ids, comps, sides, leaders, far = (rows.column(c).to_numpy() for c in ("id", "component", "side", "leader", "distance"))
             sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(len(key), -1) if len(key) else None
             a, b = [], []
             for s, e in zip(cut, [*cut[1:], len(key)], strict=True):
                 if s < stop and e - s > 1:
-                    one, two = compare(ids[s:e], comps[s:e], sigs[s:e], sides[s:e])
+                    one, two = compare(ids[s:e], comps[s:e], sigs[s:e], sides[s:e], leaders[s:e], far[s:e])
                     a.append(one), b.append(two)
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.empty((2, 0), np.int64)
             return rows.slice(stop), pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
@@ -213,7 +215,7 @@ def _across(members: DataFrame, floor: float, best: int | None) -> DataFrame:
     rows = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A pair of blocks i <= j is one part; a row goes to every part that its block is in, on the side of i, of j or both.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("id", "component", "sig", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part"), F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    rows = rows.select("id", "component", "sig", "leader", "distance", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("part"), F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -231,12 +233,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     floor = least_estimate(percent / 100)
 
     first = members.groupBy("id").agg(F.min("leader").alias("leader")).where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    edges = written(_confirmed(first, sets, percent), "links")
+    compared = written(_compared(first, sets, percent), "compared")
+    edges = compared.where("linked").select("a", "b")
     found = written(components(edges), "components")
+    # Each class's distance from its leader is known; a class that leads is none from itself.
+    known = compared.select(F.col("b").alias("id"), F.col("a").alias("first"), "distance")
+    bands = members.select("key", "id", "sig").join(known, "id", "left").select("key", "id", "sig", F.coalesce("first", "id").alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
     for best in (3, None):
-        now = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = _across(now.select("key", "id", "component", "sig"), floor, best)
-        more = written(_confirmed(pairs, sets, percent), "links")
+        now = bands.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pairs = _across(now.select("key", "id", "component", "sig", "leader", "distance"), floor, best, 1 - percent / 100)
+        more = written(_compared(pairs, sets, percent).where("linked").select("a", "b"), "links")
         if more.isEmpty():
             continue
         edges = edges.unionByName(more)
@@ -252,3 +258,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, percent=80)
+
+
+ORACLE_OP2 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS h FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)
+), r(a, b) AS (
+  SELECT x, y FROM e UNION SELECT y, x FROM e
+  UNION
+  SELECT r.a, CASE WHEN e.x = r.b THEN e.y ELSE e.x END FROM r JOIN e ON e.x = r.b OR e.y = r.b
+)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
