@@ -41,7 +41,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices batches so that ``column`` holds about ``limit`` bytes; one longer text is one slice."""
+    """Slices batches so that ``column`` holds about ``limit`` bytes; one longer text is one slice.
+
+    When all are done the worker, which stays for later tasks, gives freed memory back.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
@@ -54,6 +57,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Hands unused memory of this process to the system, where its allocators can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -70,7 +87,7 @@ def bytes_of(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for a worker's later texts up to ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

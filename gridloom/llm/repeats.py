@@ -9,8 +9,9 @@ Triggers and phrases (the dictionary) are counted over all documents:
 * a trigger's gram that is found once: none of its strings repeats;
 * a phrase that is found twice or more: all of its strings repeat;
 * a gram whose phrases differ: the strings of one representative of each
-  phrase are counted one by one, in the order of the gram where its phrases
-  are few, and by a distributed count where they are many.
+  phrase are compared one by one: as neighbours in the order of the phrases'
+  suffixes where a gram's phrases are few, so that they are in one task, and by
+  a distributed count of hashes where they are many.
 
 So strings are compared only where repeats begin and end. The other scans of the
 texts look phrases up in Bloom filters of a fixed size first; the joins that
@@ -35,8 +36,9 @@ from gridloom.llm.common import bloom_of, bytes_of, mix64, pieces, table, writte
 LENGTH, GRAM = 200, 64
 #: Phrases of one gram whose strings are counted in one task; of grams with more, all strings are dealt out by their hashes.
 KINDS_AT_ONCE = 2000
-#: Bytes that are hashed at once; positions within have so many bits.
-SEGMENT_BITS = 23
+#: Bytes of texts that are looked at together, and bytes that are hashed at once; positions within have so many bits.
+PARSED_BYTES = 1 << 20
+SEGMENT_BITS = 20
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INVERSE = pow(_B, -1, 1 << 64)
 _BYTES = np.random.default_rng(8).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -139,18 +141,42 @@ def _spread(size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _counted_locally(length: int):
-    """From edges in the order of their gram to the stretches of strings that two of them share."""
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The place of each suffix in the order of their first ``length`` bytes; equal beginnings share a place.
+
+    Prefix doubling: ranks of twice the length come from pairs of ranks.
+    """
+    rank, width = data.astype(np.int64), 1
+    while width < length:
+        step = min(width, length - width)
+        rank = np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1]
+        width += step
+    return rank
+
+
+#: Edges whose suffixes are ordered at once; those of one gram are never parted.
+EDGES_AT_ONCE = 2000
 
-    def found(rows: pa.Table) -> pa.RecordBatch:
+
+def _counted_locally(length: int):
+    """From edges in the order of their gram to the stretches of strings that two of them share: neighbours in suffix order."""
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        gram = rows.column("gram").to_numpy()
+        cuts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])).tolist()
+        begin = 0
+        for cut, after in zip(cuts, [*cuts[1:], len(gram)], strict=True):
+            if after - begin > EDGES_AT_ONCE and cut > begin:
+                yield shared(rows.slice(begin, cut - begin))
+                begin = cut
+        yield shared(rows.slice(begin))
+
+    def shared(rows: pa.Table) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), dtype=np.uint8)
-        gram, row, begin, strings = (rows.column(c).to_numpy() for c in ("gram", "row", "begin", "strings"))
-        strings = strings.astype(np.int64)
+        row, begin, strings = (rows.column(c).to_numpy() for c in ("row", "begin", "strings"))
         inner = np.cumsum(strings + length - 1) - (strings + length - 1)
-        at = np.repeat(inner, strings) + _spread(strings)
-        own = mix64(Hashed(data).of(at, at + length) ^ np.repeat(mix64(gram.view(np.uint64)), strings))
-        _, back, times = np.unique(own, return_inverse=True, return_counts=True)
-        hit = times[back] > 1
+        own = suffix_ranks(data, length)[np.repeat(inner, strings) + _spread(strings)]
+        hit = np.bincount(own)[own] > 1
         edge = np.repeat(np.arange(len(strings)), strings)
         starts = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (edge[1:] != edge[:-1])))
         stops = np.flatnonzero(hit & np.append(~hit[1:] | (edge[1:] != edge[:-1]), True))
@@ -166,9 +192,9 @@ def _counted_locally(length: int):
             last = int(np.searchsorted(gram, gram[-1])) if len(gram) else 0
             rest = now.slice(last)
             if last:
-                yield found(now.slice(0, last))
+                yield from found(now.slice(0, last))
         if rest is not None and rest.num_rows:
-            yield found(rest)
+            yield from found(rest)
 
     return run
 
@@ -178,7 +204,7 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = rows.sparkSession
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, "text", PARSED_BYTES):
             row = batch.column("row").to_numpy()
             for _, text, begin, _, _, gram, phrase in parse(bytes_of(batch.column("text")), length):
                 yield pa.RecordBatch.from_arrays([_signed(gram), _signed(phrase), _signed(_place(row[text], begin))], names=["gram", "phrase", "place"])
@@ -196,7 +222,7 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same, few_kinds, many_kinds = filters.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, "text", PARSED_BYTES):
             row, texts = batch.column("row").to_numpy(), bytes_of(batch.column("text"))
             for hashed, text, begin, inner, strings, gram, phrase in parse(texts, length):
                 parts = []
