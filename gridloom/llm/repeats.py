@@ -209,7 +209,8 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             for _, text, begin, _, _, gram, phrase in parse(bytes_of(batch.column("text")), length):
                 yield pa.RecordBatch.from_arrays([_signed(gram), _signed(phrase), _signed(_place(row[text], begin))], names=["gram", "phrase", "place"])
 
-    found = rows.mapInArrow(phrases, "gram long, phrase long, place long").repartition("gram")
+    found = rows.mapInArrow(phrases, "gram long, phrase long, place long")
+    # Copies are summed up before they are dealt out, so a phrase's rows are at most one from each task.
     counted = found.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min("place").alias("place"))
     counted = counted.withColumn("kinds", F.count("*").over(Window.partitionBy("gram")))
     dictionary = written(counted.where("n > 1 OR kinds > 1"), "dictionary")
