@@ -137,7 +137,7 @@ def letters_index_sql(column: str) -> Column:
     return F.expr(f"aggregate(split({column}, ''), 0, (a, c) -> IF(c = '', a, a * 26 + ascii(c) - 64), a -> a - 1)")
 
 
-_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_CONTROL = re.compile(r"(?![\t\n\r])[\x00-\x1f]")
 _ENTITY = re.compile(r"&(?:#(\d{1,7})|#[xX]([0-9a-fA-F]{1,6})|(amp|lt|gt|quot|apos));")
 _NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 
