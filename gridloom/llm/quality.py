@@ -24,6 +24,8 @@ from gridloom.llm.labelled import SAMPLE_ROWS, labelled_sample
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHARES = ["mean_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "pipe_share", "digit_share", "distinct_share", "top_share", "comma_share", "double_share"]
 RULES, CONDITIONS, PRECISE = 16, 4, 0.9
+#: Of the covered bad documents' values; thresholds are tried there.
+QUANTILES = sorted({*(x / 100 for x in (0, 2, 5, 10, 25)), *(1 - x / 100 for x in (0, 2, 5, 10, 25)), 1 / 2})
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
 
 
@@ -108,7 +110,7 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
             base, best = np.log2(p / (p + q)), (0.0, None)
             for name, v in x.items():
                 own = v[inside & bad]
-                for cut in np.unique(np.quantile(own, [0.0, 0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98, 1.0])):
+                for cut in np.unique(np.quantile(own, QUANTILES)):
                     for op in (">", "<="):
                         edge = float(np.nextafter(cut, -np.inf)) if op == ">" else float(cut)
                         hit = inside & (v > edge if op == ">" else v <= edge)

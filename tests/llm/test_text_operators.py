@@ -276,7 +276,7 @@ def test_boosting_sql_and_isotonic(spark):
     model = gbt.BoostedTrees.fit(x, y, trees=30)
     assert ((model.probability(x) > 0.5) == y).mean() > 0.95
     df = spark.createDataFrame([tuple(map(float, r)) for r in x[:50]], "a double, b double, c double, d double")
-    got = [r[0] for r in df.selectExpr(f"({model.sql(['a', 'b', 'c', 'd'])}) AS s").collect()]
+    got = [r[0] for r in df.selectExpr(f"({model.sql(list('abcd'))}) AS s").collect()]
     assert np.allclose(got, model.score(x[:50]), atol=1e-6)
     knots, values = gbt.isotonic(model.score(x), y)
     assert (np.diff(values) >= 0).all() and 0 <= values.min() and values.max() <= 1
