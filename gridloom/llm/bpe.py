@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import pieces, table, texts_of
 
 #: Stretches of text whose ids a worker keeps; beyond it the store starts anew.
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 200_000
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Separators that str.split() takes for white space and the vocabulary doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")

@@ -56,7 +56,7 @@ def terms(word: str) -> list[str]:
 class Reader(dict):
     """From a stretch of text to (weight, disguised, address), kept for later texts."""
 
-    def __init__(self, lexicon: dict[str, float], limit: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], limit: int = 150_000):
         super().__init__()
         self.lexicon, self.limit = lexicon, limit
 
