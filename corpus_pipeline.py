@@ -35,9 +35,11 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier calls toxic."""
+    """Without the documents that the classifier calls toxic; all documents stay where no labelled row is left to learn from."""
     ship_package(spark)
     model = fitted(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    if not model.learnt:
+        return docs
     scored = score_toxicity(docs, model, score="_toxic_score")
     return scored.where(F.col("_toxic_score") < TOXIC).select(*docs.columns)
 

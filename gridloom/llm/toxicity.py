@@ -8,8 +8,8 @@ probability, fitted on a fourth of the sample that the trees don't see.
 The score of a document depends on its text alone.
 
 Null and empty texts have features of 0 and get that score. Without labelled
-rows every document gets 0.5 - toxic only by name - and with rows of one class
-that class's smoothed rate.
+rows every document gets 0.5 - toxic only by name, and the model says that it
+has learnt nothing - and with rows of one class that class's smoothed rate.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ def features(text: str, read: Reader) -> list[float]:
 
 
 class ToxicityModel:
-    def __init__(self, lexicon: dict[str, float], trees: BoostedTrees, knots: np.ndarray, values: np.ndarray):
-        self.lexicon, self.trees, self.knots, self.values = lexicon, trees, knots, values
+    def __init__(self, lexicon: dict[str, float], trees: BoostedTrees, knots: np.ndarray, values: np.ndarray, learnt: bool = True):
+        self.lexicon, self.trees, self.knots, self.values, self.learnt = lexicon, trees, knots, values, learnt
 
     def scores(self, texts: list[str], read: Reader) -> np.ndarray:
         x = np.array([features(t, read) for t in texts], dtype=float).reshape(len(texts), FEATURES)
@@ -180,7 +180,7 @@ def fit_toxicity(sample: DataFrame, trees: int = 60) -> ToxicityModel:
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(rows.num_rows, FEATURES)
     y, held = rows.column("y").to_numpy().astype(float), rows.column("h").to_numpy() == 0
     if not rows.num_rows:
-        return ToxicityModel(lexicon, BoostedTrees(0.0, []), np.array([0.0]), np.array([0.5]))
+        return ToxicityModel(lexicon, BoostedTrees(0.0, []), np.array([0.0]), np.array([0.5]), learnt=False)
     if held.all() or not held.any():
         held = np.arange(len(y)) % 4 == 0
     grown = BoostedTrees.fit(x[~held], y[~held], trees=trees, depth=3, rate=0.15)

@@ -62,3 +62,19 @@ def test_nothing_in_nothing_out(spark, tables):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, tables[0])
         assert out.count() == 0, name
+
+
+@pytest.mark.parametrize("labels", ["", "(1L, 1, CAST(NULL AS INT))", "(NULL, 1, 1)", "(999999L, 1, 1)", "held out"])
+def test_without_labels_to_learn_from_all_documents_stay(spark, tables, tmp_path, labels):
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    own = spark.read.parquet(f"{tables[0]}/labels.parquet")
+    if labels == "held out":
+        own = own.where("crc32(CAST(doc_id AS STRING)) % 5 = 0")
+    else:
+        own = spark.sql(f"SELECT * FROM VALUES {labels} AS t(doc_id, quality, toxic)") if labels else own.limit(0)
+    own.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert kept.columns == COLUMNS and kept.count() == len(tables[1])
+    if not labels:
+        assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() > 300
