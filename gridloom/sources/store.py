@@ -60,5 +60,14 @@ def names(folder: str) -> list[str]:
     return sorted(os.listdir(inner)) if os.path.isdir(inner) else []
 
 
+def is_folder(path: str) -> bool:
+    store, inner = _parted(path)
+    if store:
+        from pyarrow import fs
+
+        return store.get_file_info(inner).type == fs.FileType.Directory
+    return os.path.isdir(inner)
+
+
 def joined(folder: str, name: str) -> str:
     return folder.rstrip("/") + "/" + name

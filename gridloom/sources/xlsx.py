@@ -1,6 +1,7 @@
 """``spark.read.format("sheet")`` and ``df.write.format("sheet")``: workbooks as a Spark data source.
 
-Reading: an indexed sheet is split at its seek points, and blocks that pushed
+Reading: a workbook, or a folder of indexed ones with one header, which continue
+each other in the order of their names. An indexed sheet is split at its seek points, and blocks that pushed
 filters on ``_row`` or on a number column rule out aren't read at all; a sheet
 without an index is one deflate stream, hence one partition. Options: sheet,
 sheetIndex, shards, numbers (columns to add as ``NAME__num`` doubles), raw
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -46,8 +47,9 @@ def _names(text: str | None) -> list[str]:
 
 @dataclass
 class Stretch(InputPartition):
-    """Rows of one part: where to begin and end in its deflated data, and which rows to keep."""
+    """Rows of one part of a workbook: where to begin and end in its deflated data, and which rows to keep."""
 
+    path: str
     entry: str
     begin: int
     end: int
@@ -62,8 +64,18 @@ class SheetSource(DataSource):
     def name(cls) -> str:
         return "sheet"
 
-    def _plan(self) -> tuple[Workbook, list[str], list[str]]:
-        book = Workbook(self.options["path"])
+    def paths(self) -> list[str]:
+        """The workbook, or those of the folder."""
+        path = self.options["path"]
+        if not store.is_folder(path):
+            return [path]
+        found = [store.joined(path, n) for n in store.names(path) if n.endswith(".xlsx")]
+        if not found:
+            raise SheetError("notAWorkbook", f"{path} holds no workbook")
+        return found
+
+    def _plan(self, path: str | None = None) -> tuple[Workbook, list[str], list[str]]:
+        book = Workbook(path or self.paths()[0])
         at = self.options.get("sheetIndex")
         entry = book.entry(self.options.get("sheet") or (int(at) if at is not None else None))
         header = book.header(entry)
@@ -102,8 +114,8 @@ class SheetSource(DataSource):
 
 class SheetReader(DataSourceReader):
     def __init__(self, source: SheetSource, schema: StructType):
-        self.options = dict(source.options)
-        book, header, self.members = source._plan()
+        self.options, self.source, self.paths = dict(source.options), source, source.paths()
+        book, header, self.members = source._plan(self.paths[0])
         self.names = source.columns(header)
         self.raw = _flag(self.options, "raw", False)
         self.numbers = _names(self.options.get("numbers"))
@@ -129,26 +141,42 @@ class SheetReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        book = Workbook(self.options["path"])
+        out: list[InputPartition] = []
+        before = members = 0
+        for path in self.paths:
+            found, rows, count = self._stretches(path, before, members)
+            out += found
+            before, members = before + rows, members + count
+        return out or [Stretch(self.paths[0], self.members[0], 0, 0, 1, 0, 0, 0)]
+
+    def _stretches(self, path: str, before: int, members: int) -> tuple[list[Stretch], int, int]:
+        """What is to be read of a workbook that so many rows and sheets come before, its rows without headers, its sheets."""
+        book, header, entries = self.source._plan(path)
+        entries = self.members if path == self.paths[0] else entries
         try:
-            held = [book.index.sheet(e) if book.index else None for e in self.members]
-            shift = offsets([h.total_rows for h in held]) if len(held) > 1 else [0]
-            out: list[InputPartition] = []
-            for member, (entry, own) in enumerate(zip(self.members, held, strict=True)):
+            held = [book.index.sheet(e) if book.index else None for e in entries]
+            if len(self.paths) > 1 and None in held:
+                raise SheetError("unindexedMember", f"{path} has no index, so the rows after it have no numbers")
+            if self.source.columns(header) != self.names:
+                raise SheetError("badChain", f"{path} has another header")
+            shift = [before + o for o in (offsets([h.total_rows for h in held]) if len(held) > 1 else [0])]
+            out: list[Stretch] = []
+            for at, (entry, own) in enumerate(zip(entries, held, strict=True)):
+                member = members + at
                 if own is None:
-                    out.append(Stretch(entry, 0, -1, 1, None, shift[member], member))
+                    out.append(Stretch(path, entry, 0, -1, 1, None, shift[at], member))
                     continue
                 # Up to so many bytes between runs are read through, as a new request would take as long.
                 bridge = int(float(self.options.get("rttMicros", 0)) / 1e6 * float(self.options.get("bandwidth", 50 << 20)))
                 runs: list[list[int]] = []
                 for block, (first, last, begin, end) in enumerate(own.blocks()):
-                    if last >= first and self._fits(own, block, first + shift[member], last + shift[member]):
+                    if last >= first and self._fits(own, block, first + shift[at], last + shift[at]):
                         if runs and begin - runs[-1][1] <= bridge:
                             runs[-1][1], runs[-1][3] = end, last
                         else:
                             runs.append([begin, end, first, last])
-                out += self._cut(own, entry, runs, shift[member], member)
-            return out or [Stretch(self.members[0], 0, 0, 1, 0, 0, 0)]
+                out += self._cut(own, path, entry, runs, shift[at], member)
+            return out, sum(h.total_rows - 1 for h in held if h), len(entries)
         finally:
             book.close()
 
@@ -165,19 +193,19 @@ class SheetReader(DataSourceReader):
                         return False
         return True
 
-    def _cut(self, own, entry: str, runs: list[list[int]], shift: int, member: int) -> list[Stretch]:
+    def _cut(self, own, path: str, entry: str, runs: list[list[int]], shift: int, member: int) -> list[Stretch]:
         """Runs of blocks, cut so that there are about as many stretches as were asked for."""
         inner = [[b for b in own.blocks() if b[0] >= first and b[1] <= last] for _, _, first, last in runs]
-        size = max(1, -(-sum(map(len, inner)) // max(1, int(self.options.get("shards", 16)))))
+        size = max(1, -(-sum(map(len, inner)) // max(1, int(self.options.get("shards", 16)) // len(self.paths))))
         out = []
         for blocks in inner:
             for at in range(0, len(blocks), size):
                 part = blocks[at : at + size]
-                out.append(Stretch(entry, part[0][2], part[-1][3], part[0][0], part[-1][1], shift, member))
+                out.append(Stretch(path, entry, part[0][2], part[-1][3], part[0][0], part[-1][1], shift, member))
         return out
 
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
-        book = Workbook(self.options["path"])
+        book = Workbook(part.path)
         try:
             keep_header = _flag(self.options, "header", False)
             dates = book.date_styles() if _flag(self.options, "dates", False) else set()
@@ -276,6 +304,26 @@ class FolderWriter(DataSourceArrowWriter):
                 store.remove(m.temporary)
 
 
+def verified(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, rows, blocks_checked, corrupt_blocks, sheet_crc_ok) of a workbook, or of all in a folder, one task each; rows are what the index says."""
+    paths = SheetSource({"path": path}).paths()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own in batch.column("path").to_pylist():
+                book = Workbook(own)
+                try:
+                    totals = [s.total_rows - 1 if book.index and (s := book.index.sheet(e)) else None for _, e in book.sheets]
+                    rows += [{"path": own, "sheet": v["sheet"], "rows": n, "blocks_checked": v["blocks_checked"], "corrupt_blocks": v["corrupt_blocks"], "sheet_crc_ok": v["sheet_crc_ok"]} for v, n in zip(book.verify(), totals, strict=True)]
+                finally:
+                    book.close()
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("sheet", pa.string()), ("rows", pa.int64()), ("blocks_checked", pa.int64()), ("corrupt_blocks", pa.list_(pa.int64())), ("sheet_crc_ok", pa.bool_())]))
+
+    listed = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i long, path string").repartitionByRange(len(paths), "i").select("path")
+    return listed.mapInArrow(run, "path string, sheet string, rows long, blocks_checked long, corrupt_blocks array<long>, sheet_crc_ok boolean")
+
+
 def register(spark: SparkSession) -> None:
     """Makes the format known, and lets Spark hand filters to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

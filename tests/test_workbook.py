@@ -299,3 +299,25 @@ def test_scalars():
     dates = {"yyyy-mm-dd": True, "0.00": False, '"day" 0': False, "[h]:mm": True, "[Red]0": False, "General": False, "h:mm AM/PM": True, "\\d0": False, "#,##0": False}
     assert {k: S.is_date_format(k) for k in dates} == dates
     assert S.clean_sheet_name("a:b*c?" + "x" * 40) == ("a_b_c_" + "x" * 40)[:31] and S.clean_sheet_name("") == "Sheet"
+
+
+def test_folder_is_read_as_one_table(spark, tmp_path):
+    from gridloom.sources.xlsx import register, verified
+
+    register(spark)
+    folder = str(tmp_path / "books")
+    spark.range(1000).selectExpr("id", "id * 2 AS twice").repartitionByRange(3, "id").sortWithinPartitions("id").write.format("sheet").option("every", 50).option("stats", "id").mode("append").save(folder)
+    df = spark.read.format("sheet").option("numbers", "id").load(folder)
+    assert sorted((r._row, r.id, r.twice) for r in df.collect()) == [(i + 2, str(i), str(2 * i)) for i in range(1000)]
+    assert sorted(r.id for r in df.where("id__num BETWEEN 640 AND 690").collect()) == [str(i) for i in range(640, 691)]
+    assert [r._row for r in df.where("_row = 900").collect()] == [900]
+    seen = verified(spark, folder).collect()
+    assert len(seen) == 3 and sum(r.rows for r in seen) == 1000 and all(r.sheet_crc_ok and not r.corrupt_blocks for r in seen)
+    bad = tmp_path / "books" / "part-00001.xlsx"
+    data = bytearray(bad.read_bytes())
+    data[400] ^= 0xFF
+    bad.write_bytes(bytes(data))
+    assert [r.sheet_crc_ok for r in sorted(verified(spark, folder).collect(), key=lambda r: r.path)] == [True, False, True]
+    make(tmp_path / "books" / "part-00003.xlsx")
+    with pytest.raises(Exception, match="another header"):
+        spark.read.format("sheet").load(folder).count()
