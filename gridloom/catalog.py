@@ -227,7 +227,16 @@ for _kind, _sql in {
     "datetime": f"CASE WHEN num BETWEEN 0 AND 2958465 THEN {_DATED} END",
 }.items():
     query(f"cast_{_kind}", f"{_CELLS_SQL} SELECT _row, {_sql} AS x FROM n")(lambda s, d, k=_kind: SheetFrame(literal(s, _CELLS, "_row, x")).cast_columns({"x": k}).df)
-query("serial_roundtrip", f"SELECT event_id, {_SERIAL.format('ts')} AS serial, date_trunc('second', ts + INTERVAL 500 MILLISECOND) AS back FROM events WHERE event_id < 500")(lambda s, d: events(s, d).df.where("event_id < 500").select("event_id", S.serial_of(F.col("ts")).alias("serial"), S.datetime_of(S.serial_of(F.col("ts"))).alias("back")))
+_SERIAL_ALL = f"SELECT event_id, {_SERIAL.format('ts')} AS serial, date_trunc('second', ts + INTERVAL 500 MILLISECOND) AS back FROM events"
+
+
+def _serials(df: DataFrame) -> DataFrame:
+    return df.select("event_id", S.serial_of(F.col("ts")).alias("serial"), S.datetime_of(S.serial_of(F.col("ts"))).alias("back"))
+
+
+# The first one's SQL asks for the events below id 500 only; the second is over the whole table.
+query("serial_roundtrip", f"{_SERIAL_ALL} WHERE event_id < 500")(lambda s, d: _serials(events(s, d).df.where("event_id < 500")))
+query("serial_roundtrip_all", _SERIAL_ALL)(lambda s, d: _serials(events(s, d).df))
 _TEXTS = "('007'),('0.5'),('+4'),('12'),('1234567890123456'),('123456789012345'),('abc'),('-5'),('-05'),('1e3'),('')"
 query("preserve_numeric_text", f"SELECT x, regexp_full_match(x, '{_RX}') AND (regexp_matches(x, '^[+-]?0[0-9]') OR starts_with(x, '+') OR length(regexp_replace(regexp_replace(x, '[eE].*$', ''), '[^0-9]', '', 'g')) > 15) AS keeps FROM (VALUES {_TEXTS}) AS t(x)")(lambda s, d: literal(s, _TEXTS, "x").select("x", S.keeps_text(F.col("x")).alias("keeps")))
 query("column_letters", "SELECT * FROM (VALUES ('A', 0), ('Z', 25), ('AA', 26), ('AZ', 51), ('ZZ', 701), ('AAA', 702), ('XFD', 16383)) AS t(letters, i)")(lambda s, d: literal(s, "('A'),('Z'),('AA'),('AZ'),('ZZ'),('AAA'),('XFD')", "letters").select("letters", S.letters_index_sql("letters").alias("i")))

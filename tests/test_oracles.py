@@ -36,3 +36,8 @@ def test_query_gives_the_rows_of_its_sql(spark, db, name):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
     assert got
+
+
+@pytest.mark.parametrize("name, table", [("serial_roundtrip_all", "events"), ("xlsx_roundtrip_all", "orders"), ("xlsx_compact_all", "orders")])
+def test_round_trips_cover_the_whole_table(spark, name, table):
+    assert catalog.QUERIES[name](spark, DIR).count() == spark.read.parquet(f"{DIR}/{table}.parquet").count()
