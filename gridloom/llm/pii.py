@@ -1,11 +1,11 @@
 """Personal data: patterns give base spans, boosted trees judge further candidates.
 
 All of it is SQL on the main path: generators with a high recall propose
-spans that may overlap; trees over their format and their context, grown once
+all spans of several lengths at every start, which overlap; trees over their format and their context, grown once
 on the driver from examples that ``labelled_examples`` writes, become nested IF
 expressions; thresholds that reach ``PRECISION`` on held-out examples of each
-kind select spans. Base spans always stay; a chosen candidate stays if it
-overlaps no base span and no better candidate. No row leaves its task.
+kind select spans. Base spans always stay; of chosen candidates that overlap no
+base span, the best are taken one by one, each if it overlaps none taken. No row leaves its task.
 
 A null text has no spans and stays null; an empty text has none. Positions are
 code points. Other columns of the input pass through.
@@ -37,12 +37,23 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators with a high recall.
+_AT, _PART = r"(?:@|[\x20]?[\[(]at[\])][\x20]?|[\x20]at[\x20])", r"[A-Za-z0-9-]{1,63}+"
+_DOT = r"(?:\.|[\x20]?[\[(]dot[\])][\x20]?|[\x20]dot[\x20])"
+_CARD_GAP, _PHONE_GAP = r"[\x20./-]{0,2}+", r"\)?+[\x20./-]{0,3}+\(?+"
+#: Generators with a high recall: where a candidate may begin, and the longest stretch that it may be the beginning of.
+#: Numbers take one digit more than the longest candidate has, so that the end of a group of digits can be told.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|[\x20]?[\[(]at[\])][\x20]?|[\x20]at[\x20])[A-Za-z0-9-]{1,63}+(?:(?:\.|[\x20]?[\[(]dot[\])][\x20]?|[\x20]dot[\x20])[A-Za-z0-9-]{1,63}){1,6}",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9]{1,3}(?:\.|[\x20]?[\[(](?:\.|dot)[\])][\x20]?)){3}[0-9]{1,3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20./-]{0,2}[0-9]{3,6}){2,4}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+|00)?[0-9(][0-9]{1,4}\)?(?:[\x20./-]{1,3}\(?[0-9]{2,5}\)?){1,5}(?![0-9])",
+    "email": (rf"(?<!{LOCAL})", rf"{LOCAL}{{1,64}}+{_AT}{_PART}(?:{_DOT}{_PART}){{1,6}}"),
+    "ip": (r"(?<![0-9A-Fa-f:.])", r"(?:[0-9]{1,3}(?:\.|[\x20]?[\[(](?:\.|dot)[\])][\x20]?)){3}[0-9]{1,3}(?![0-9])|(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "card": (r"(?<![0-9])", rf"[0-9](?:{_CARD_GAP}[0-9]){{12,19}}+"),
+    "phone": (r"(?<![0-9A-Za-z+(])", rf"[+(]{{0,2}}+[0-9](?:{_PHONE_GAP}[0-9]){{6,15}}+\)?+"),
+}
+#: The candidates among a stretch's beginnings: domains of 1 to 6 parts after the first, whole groups of 13 to 19 and of 7 to 15 digits.
+BEGINNINGS = {
+    "email": [rf"^({LOCAL}{{1,64}}+{_AT}{_PART}(?:{_DOT}{_PART}){{{n}}})(?![A-Za-z0-9-])" for n in range(1, 7)],
+    "ip": [r"(?s)^(.+)$"],
+    "card": [rf"^([0-9](?:{_CARD_GAP}[0-9]){{{n - 1}}})(?![0-9])" for n in range(13, 20)],
+    "phone": [rf"^(?=[+(]*[0-9]+[^0-9]+[0-9])([+(]{{0,2}}+[0-9](?:{_PHONE_GAP}[0-9]){{{n - 1}}}\)?)(?![0-9])" for n in range(7, 16)],
 }
 FEATURES = ["kind", "length", "digits", "letters", "seps", "groups", "plus", "parens", "luhn", "octets", "variety", "cue", "anti", "left_word", "right_word", "money", "at_sign", "dots", "spread"]
 CUE = r"(?i)(mail|contact|write|reach|tel|phone|call|fax|mobile|cell|whatsapp|card|visa|amex|master|credit|pay|ip|host|server|addr|ping|ssh|login|from)[^A-Za-z0-9]{0,4}(?:[A-Za-z]{1,8}[^A-Za-z0-9]{0,3}){0,2}$"
@@ -119,6 +130,22 @@ def _matches(text: str, pattern: str, hint: str) -> Column:
     return F.expr(f"IF({hint}, aggregate({found}, struct(0 AS at, {NOTHING} AS all), (a, x) -> {step}, a -> a.all), {NOTHING})")
 
 
+def _candidates(kind: str) -> Column:
+    """array<struct<s, e, m>>: all candidates of a kind, several at every start; they may overlap.
+
+    Starts are matches without a width, so the texts between them give the
+    positions; a space in front keeps a start at 0 from being passed over.
+    """
+    behind, stretch = WIDE[kind]
+    pattern = f"{behind}(?=({stretch}))"
+    found = f"zip_with(split(concat(' ', _t), r'{pattern}', -1), regexp_extract_all(concat(' ', _t), r'{pattern}', 1), (b, m) -> struct(length(b) AS b, m AS m))"
+    step = "IF(x.m IS NULL, a, struct(a.at + x.b AS at, concat(a.all, array(struct(a.at + x.b AS s, a.at + x.b AS e, x.m AS m))) AS all))"
+    starts = f"aggregate({found}, struct(-1 AS at, {NOTHING} AS all), (a, x) -> {step}, a -> a.all)"
+    parts = ", ".join(f"regexp_extract(x.m, r'{p}', 1)" for p in BEGINNINGS[kind])
+    own = f"flatten(transform({starts}, x -> transform(filter(array({parts}), m -> m <> ''), m -> struct(x.s AS s, x.s + length(m) AS e, m AS m))))"
+    return F.expr(f"IF({HINT[f'wide {kind}']}, {own}, {NOTHING})")
+
+
 def labelled_examples(count: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
     """(kind, span, text before, text after, true span or not), written from formats in use and from what resembles them."""
     rng = random.Random(seed)
@@ -199,11 +226,13 @@ def find_pii(df: DataFrame, text: str = "text", examples: int = EXAMPLES, seed:
     for n, kind in enumerate(KINDS):
         made = f"transform(filter(_w_{kind}, x -> NOT exists(base, b -> x.s < b.e AND b.s < x.e)), x -> struct(x.s AS s, {n} AS k, x.e AS e, x.m AS m, {around}))"
         featured = f"transform(_w_{kind}, c -> struct(c.s AS s, c.k AS k, c.e AS e, {', '.join(f'{e} AS {f}' for f, e in _format(kind, 'c.m', 'c.l', 'c.r').items())}))"
-        out = out.withColumn(f"_w_{kind}", _matches("_t", WIDE[kind], HINT[f"wide {kind}"])).withColumn(f"_w_{kind}", F.expr(made)).withColumn(f"_w_{kind}", F.expr(featured))
+        out = out.withColumn(f"_w_{kind}", _candidates(kind)).withColumn(f"_w_{kind}", F.expr(made)).withColumn(f"_w_{kind}", F.expr(featured))
     least = ", ".join(f"{limits[k]:.17g}D" if np.isfinite(limits[k]) else "1e9D" for k in KINDS)
     scored = f"filter(transform(_w, f -> struct(f.s AS s, f.k AS k, f.e AS e, {trees.sql(['f.' + x for x in FEATURES])} AS p)), f -> f.p >= element_at(array({least}), f.k + 1))"
     out = out.withColumn("_w", F.concat(*(f"_w_{k}" for k in KINDS))).withColumn("_w", F.expr(scored))
-    best = "transform(filter(_w, x -> NOT exists(_w, y -> x.s < y.e AND y.s < x.e AND (y.p > x.p OR y.p = x.p AND struct(y.s, y.k, y.e) < struct(x.s, x.k, x.e)))), x -> struct(x.s AS s, x.k AS k, x.e AS e))"
+    # The best first, of equals the longer; one is dropped only for one that is kept.
+    ranked = "array_sort(transform(_w, x -> struct(-x.p AS p, x.s - x.e AS n, x.s AS s, x.k AS k, x.e AS e)))"
+    best = f"aggregate({ranked}, CAST(array() AS ARRAY<STRUCT<s: INT, k: INT, e: INT>>), (a, x) -> IF(exists(a, y -> x.s < y.e AND y.s < x.e), a, concat(a, array(struct(x.s AS s, x.k AS k, x.e AS e)))))"
     out = out.withColumn("spans", F.array_sort(F.concat(F.col("base"), F.expr(best))))
     return out.drop("_t", "_d", "_w", *(f"_{a}_{k}" for a in "bw" for k in KINDS))
 

@@ -58,6 +58,21 @@ def test_candidates_and_redaction(spark):
     assert pii.redact_pii(df.limit(0)).collect() == []
 
 
+def test_numbers_side_by_side_are_found_as_themselves(spark):
+    texts = ["visa: 4111 1111 1111 1111 0925 123", "tel 0301 234 567 4111 1111 1111 1111", "phone: 555-123-4567 555-987-6543", "4111 1111 1111 1111 11 4111-1111-1111-1111"]
+    df = frame(spark, texts)
+    flat = lambda c: [x["m"] for x in c]
+    made = {r.doc_id: r for r in df.selectExpr("doc_id", "text AS _t", "true AS _d").select("doc_id", pii._candidates("card").alias("card"), pii._candidates("phone").alias("phone")).collect()}
+    assert "4111 1111 1111 1111" in flat(made[0].card) and "0301 234 567" in flat(made[1].phone) and "4111 1111 1111 1111" in flat(made[1].card)
+    assert {"555-123-4567", "555-987-6543"} <= set(flat(made[2].phone)) and {"4111 1111 1111 1111", "4111-1111-1111-1111"} <= set(flat(made[3].card))
+    assert all(texts[i][x.s : x.e] == x.m for i, r in made.items() for x in [*r.card, *r.phone])
+    got = {r.doc_id: [(pii.KINDS[x.k], texts[r.doc_id][x.s : x.e]) for x in r.spans] for r in pii.find_pii(df).collect()}
+    assert ("card", "4111 1111 1111 1111") in got[0]
+    assert got[1] == [("phone", "0301 234 567"), ("card", "4111 1111 1111 1111")]
+    assert got[2] == [("phone", "555-123-4567"), ("phone", "555-987-6543")]
+    assert {("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111")} <= set(got[3])
+
+
 def test_no_python_in_the_plan(spark, capsys):
     pii.find_pii(frame(spark, PII)).explain("formatted")
     assert not re.search("PythonUDF|EvalPython|MapIn|Pandas", capsys.readouterr().out)
