@@ -95,3 +95,25 @@ def test_paths_go_from_neighbour_to_neighbour():
     places = [order.index(i) for i in (0, 2, 4)]
     assert max(places) - min(places) == 2
     assert packing.windows(2048 * 2 + 777).tolist() == [2048, 4096, 4608, 4864, 4872, 4873]
+
+
+def test_paths_go_to_the_best_neighbour_of_all():
+    rng = np.random.default_rng(3)
+    sketches = rng.integers(0, 6, (300, 8)).astype(np.int32)
+    sketches[299] = sketches[0]  # far from it in arrival order, within groups of some 50
+    sketches[200:210] += 100 + np.arange(10, dtype=np.int32)[:, None] * 50
+    graph = packing.neighbours(sketches)
+    weight = (sketches[:, None] == sketches[None]).sum(axis=2)
+    np.fill_diagonal(weight, 0)
+    for i in range(300):
+        assert graph[i] == sorted(((int(w), j) for j, w in enumerate(weight[i]) if w), key=lambda x: (-x[0], x[1]))
+    assert graph[0][0] == (8, 299)
+    degree, seen, want = (weight > 0).sum(axis=1), set(), []
+    for start in sorted(range(300), key=lambda i: (degree[i], i)):
+        node = start
+        while node is not None and node not in seen:
+            seen.add(node)
+            want.append(node)
+            node = min(((-weight[node, j], degree[j], j) for j in range(300) if weight[node, j] and j not in seen), default=(0, 0, None))[2]
+    assert packing.walk(graph) == want
+    assert packing.walk(packing.neighbours(np.empty((0, 8), np.int32))) == []
