@@ -207,6 +207,29 @@ def test_language_model_of_nothing(spark, tmp_path):
     assert hpylm.op9_hpylm(spark, str(tmp_path)).collect() == []
 
 
+def test_frequent_pairs_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "FREQUENT", 12)
+    rng = random.Random(5)
+    texts = []
+    for source in range(8):  # each with frequent words of its own, and a few of all the others
+        own = [f"s{source}w{i}" for i in range(14)]
+        texts += [" ".join(rng.choices(own, k=40) + rng.choices([f"all{i}" for i in range(9)], k=12)) for _ in range(12)]
+    count = collections.Counter(w.encode() for t in texts for w in t.split())
+    top = sorted(count, key=lambda w: (-count[w], w))[:12]
+    want = np.zeros((12, 12))
+    for t in texts:
+        near = [top.index(w.encode()) for w in t.split() if w.encode() in top]
+        for a, b in zip(near, near[1:]):
+            want[a, b] += 1
+    whole = frame(spark, texts).coalesce(1)
+    classes = hpylm.frequent_classes(whole)
+    assert set(classes) == set(top)
+    for df in (whole, frame(spark, texts).repartitionByRange(8, "doc_id")):
+        assert hpylm.frequent_words(df) == top and (hpylm.frequent_pairs(df, top) == want).all()
+        assert hpylm.frequent_classes(df) == classes
+    assert hpylm.frequent_classes(whole.limit(0)) == {}
+
+
 # -- quality
 
 
