@@ -152,29 +152,67 @@ def test_repeats_across_segments_and_equal_ids(spark, monkeypatch):
 # -- language model
 
 
+def parent_of(n, customers, size, base, discount=0.4):
+    return hpylm.Parent(np.full(n, customers), np.full(n, min(customers, 2)), np.full(n, base), np.full(n, size), discount)
+
+
 def test_seating_follows_its_conditional():
-    d, open_, n = 0.5, 0.7, 40000
+    d, strength, others, n = 0.5, 2.0, 3, 40000
     log_s = hpylm.stirling(d)
     for c in (2, 3, 5):
-        weight = np.exp(log_s[c, 1 : c + 1]) * open_ ** np.arange(1, c + 1)
+        parent = parent_of(1, 4, 30.0, 0.8)
+        opening = [(strength + d * (others + i)) * float(parent.after(np.array([i]))[0]) for i in range(c)]
+        weight = np.exp(log_s[c, 1 : c + 1]) * np.cumprod(opening)
         seeds = hpylm.mix64(np.arange(n, dtype=np.uint64))
-        drawn = hpylm.seat(np.full(n, c), np.full(n, open_), d, seeds)
+        drawn = hpylm.seat(np.full(n, c), strength, d, np.full(n, others), parent_of(n, 4, 30.0, 0.8), seeds)
         assert np.abs(np.bincount(drawn, minlength=c + 1)[1:] / n - weight / weight.sum()).max() < 0.015
-    many = hpylm.seat(np.full(200, 100000), np.full(200, 1.0), d, hpylm.mix64(np.arange(200, dtype=np.uint64)))
-    assert (many >= 1).all() and (many <= 100000).all() and 10 < many.mean() < 3000
-    assert (hpylm.seat(np.array([0, 1]), np.ones(2), d, np.zeros(2, np.uint64)) == [0, 1]).all()
+    assert (hpylm.seat(np.array([0, 1]), 1.0, 0.5, np.zeros(2), parent_of(2, 0, 9.0, 0.1), np.zeros(2, np.uint64)) == [0, 1]).all()
+
+
+@pytest.mark.parametrize("c, strength, others, share", [(400, 1.0, 0, 0.5), (90, 5.0, 40, 0.01), (1500, 50.0, 200, 0.6), (300, 2000.0, 100, 0.2), (5000, 1.0, 5, 1e-6), (5000, 20.0, 60, 0.05)])
+def test_many_customers_follow_their_conditional(c, strength, others, share):
+    """Against all Stirling numbers of so many customers."""
+    d, n = 0.4, 4000
+    log_s = np.full(c + 1, -np.inf)
+    log_s[0], t = 0.0, np.arange(1, c + 1)
+    for i in range(c):
+        log_s[1:] = np.logaddexp(log_s[:-1], log_s[1:] + np.log(np.maximum(i - d * t, 1e-300)))
+        log_s[0] = -np.inf
+    parent = lambda m: parent_of(m, 300.0 * share, 300.0, share)
+    steps = np.arange(c)
+    weight = log_s[1:] + np.cumsum(np.log((strength + d * (others + steps)) * parent(c).after(steps)))
+    weight = np.exp(weight - weight.max())
+    weight /= weight.sum()
+    mean = (weight * t).sum()
+    spread = math.sqrt((weight * (t - mean) ** 2).sum())
+    got = hpylm.seat(np.full(n, c), strength, d, np.full(n, others), parent(n), hpylm.mix64(np.arange(n, dtype=np.uint64)))
+    assert abs(got.mean() - mean) < 0.1 * spread + 0.1, (got.mean(), mean, spread)
+    assert abs(got.std() - spread) < 0.15 * spread + 0.1, (got.std(), spread)
+
+
+def language_facts(texts):
+    words = {i: [*(t or "").encode().lower().split(), None] for i, t in enumerate(texts)}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
+    count = collections.Counter(w for i, ws in words.items() if not out[i] for w in ws)
+    return words, out, count
 
 
-def test_language_model(spark, tmp_path):
-    rng = random.Random(2)
+def invented(seed=2, n=240):
+    """Texts of three vocabularies, in which every other word is told by the one before."""
+    rng = random.Random(seed)
     tongues = [[f"{c}{i}" for i in range(80)] for c in "abc"]
-    texts = [" ".join(rng.choices(own, [1 / (k + 1) for k in range(80)], k=rng.randrange(5, 90))) for own in rng.choices(tongues, k=240)]
-    texts += ODD
+    texts = []
+    for own in rng.choices(tongues, k=n):
+        at = rng.choices(range(80), [1 / (k + 1) for k in range(80)], k=rng.randrange(5, 45))
+        texts.append(" ".join(f"{own[i]} {own[(i * 7 + 3) % 80]}" for i in at))
+    return texts
+
+
+def test_language_model(spark, tmp_path):
+    texts = invented() + ODD
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in hpylm.op9_hpylm(spark, str(tmp_path)).collect()}
-    words = {i: [*(t or "").encode().lower().split(), None] for i, t in enumerate(texts)}
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
-    count = collections.Counter(w for i, ws in words.items() if not out[i] for w in ws)
+    words, out, count = language_facts(texts)
     n, v = sum(count.values()), len(count)
     assert set(got) == set(words)
     for i, ws in words.items():
@@ -182,24 +220,117 @@ def test_language_model(spark, tmp_path):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(ws), sum(count[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
         assert math.isfinite(r.score) and r.score < 0
-    held = [got[i] for i in words if out[i]]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    held = [i for i in words if out[i]]
+    tokens = sum(len(words[i]) for i in held)
+    # Half of all words follow from the one before, which words counted alone can't tell: more than a bit a word.
+    assert sum(got[i].score - got[i].base_score for i in held) / math.log10(2) > tokens
+
+
+def test_scores_do_not_depend_on_the_layout(spark, tmp_path, monkeypatch):
+    texts = invented(5, 120) + ODD
+    found = []
+    for files, block in ((1, 8 << 20), (8, 2000)):
+        monkeypatch.setattr(hpylm, "BLOCK_BYTES", block)
+        path = f"{tmp_path}/{files}"
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(files).write.parquet(f"{path}/documents.parquet")
+        found.append({r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in hpylm.op9_hpylm(spark, path).collect()})
+    assert found[0].keys() == found[1].keys()
+    for i, a in found[0].items():
+        b = found[1][i]
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-9) and math.isclose(a[3], b[3], rel_tol=1e-6)
+
+
+def model_of(spark, texts, burn=2, kept=3):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, texts)
+    contexts = hpylm.contexts_of(docs)
+    blocks = hpylm.in_blocks(docs, contexts, 2, F.lit(False))
+    lexicon = hpylm.written(hpylm.lexicon_of(blocks, 2), "lexicon")
+    found, corpus, history = hpylm.fit(lexicon, burn, kept)
+    p = {}
+    for r in found.collect():
+        words = np.repeat(np.frombuffer(bytes(r.words), "<u8"), np.frombuffer(bytes(r.sizes), "<u4"))
+        p |= {(int(w), int(c)): (float(x), int(n)) for w, c, x, n in zip(words, np.frombuffer(bytes(r.codes), "<u2"), np.frombuffer(bytes(r.p), "<f4"), np.frombuffer(bytes(r.counts), "<i8"), strict=True)}
+    return contexts, p, corpus, history
+
+
+def test_averages_are_those_of_a_sampler_that_moves_one_customer(spark):
+    """Predictive probabilities of a long run of the plain Chinese-restaurant sampler, over the same contexts, strengths and discounts."""
+    texts = ["a b a b a c", "a b d", "b a b", "a b a", "c a b"] * 2
+    contexts, p, corpus, history = model_of(spark, texts, 10, 60)
+    strengths, discounts, base = [np.mean([h.strengths[i] for h in history[11:]]) for i in range(3)], history[0].discounts, history[0].base
+    rng = np.random.default_rng(1)
+    customers = []
+    for (word, code), (_, n) in p.items():
+        customers += [(word, code)] * n
+    kinds = {code: code >> hpylm.WORD_BITS for _, code in customers}
+    tables = [collections.defaultdict(lambda: collections.defaultdict(list)) for _ in range(3)]  # level -> restaurant -> dish -> customers by table
+
+    def up(level, place):
+        return kinds[place] if level == 0 else 0
+
+    def p_of(level, place, word):
+        if level == 3:
+            return base
+        own = tables[level][place]
+        c, t = sum(own[word]), len(own[word])
+        all_c, all_t = sum(sum(x) for x in own.values()), sum(len(x) for x in own.values())
+        return (c - discounts[level] * t + (strengths[level] + discounts[level] * all_t) * p_of(level + 1, up(level, place), word)) / (strengths[level] + all_c)
+
+    def add(level, place, word):
+        if level == 3:
+            return
+        own = tables[level][place]
+        busy = own[word]
+        all_t = sum(len(x) for x in own.values())
+        weights = [x - discounts[level] for x in busy] + [(strengths[level] + discounts[level] * all_t) * p_of(level + 1, up(level, place), word)]
+        k = rng.choice(len(weights), p=np.array(weights) / sum(weights))
+        if k == len(busy):
+            busy.append(0)
+            add(level + 1, up(level, place), word)
+        busy[k] += 1
+
+    def drop(level, place, word):
+        if level == 3:
+            return
+        busy = tables[level][place][word]
+        k = rng.choice(len(busy), p=np.array(busy) / sum(busy))
+        busy[k] -= 1
+        if not busy[k]:
+            busy.pop(k)
+            drop(level + 1, up(level, place), word)
+
+    for word, code in customers:
+        add(0, code, word)
+    sums, rounds = collections.Counter(), 0
+    for turn in range(260):
+        for word, code in customers:
+            drop(0, code, word)
+            add(0, code, word)
+        if turn >= 20:
+            rounds += 1
+            for word, code in p:
+                sums[word, code] += p_of(0, code, word)
+    far = [abs(math.log(sums[k] / rounds / x)) for k, (x, _) in p.items()]
+    assert np.mean(far) < 0.08 and max(far) < 0.35, (np.mean(far), max(far))
 
 
 def test_predictions_add_up_to_one(spark):
-    docs = spark.createDataFrame([("a b a c a b d",), ("a a b e f",), ("d d d a",)], "text string")
-    contexts = hpylm.Contexts(hpylm.frequent_classes(docs))
-    lexicon = hpylm.word_counts(docs, contexts)
-    chain = hpylm.fit(lexicon)
-    rows = hpylm.word_scores(lexicon, chain).collect()
-    left = np.mean([chain.left(k) for k in range(1, len(chain.sweeps))], axis=0)
-    fresh = np.mean([chain.parent(k, np.zeros(1), np.zeros(1))[0] for k in range(1, len(chain.sweeps))])
-    for k in range(hpylm.CLASSES + 1):
-        own = sum(float(p["p"]) for r in rows for p in np.frombuffer(bytes(r.own), dtype=[("k", "u1"), ("p", "<f4")]) if p["k"] == k)
-        parents = sum(r.parent for r in rows) + fresh * (1 / chain.base - chain.types)
-        assert math.isclose(parents, 1.0, rel_tol=1e-5)
-        # both factors are averaged over sweeps, so this holds up to their covariance
-        assert math.isclose(own + left[k] * parents, 1.0, rel_tol=1e-3)
+    """Seated anywhere, what a context gives to all words and to the unseen ones is 1."""
+    rng = np.random.default_rng(0)
+    words = np.arange(5, dtype=np.uint64)
+    codes = np.array([3, 4, (1 << hpylm.WORD_BITS) | 3], dtype=np.uint16)
+    pairs = hpylm.Pairs(words, np.full(5, 3), np.tile(codes, 5), rng.integers(0, 9, 15))
+    own = hpylm.Seating(pairs)
+    customers = np.bincount(pairs.codes, pairs.counts, hpylm.CONTEXTS)
+    start = hpylm.Totals(customers, (0.5, 0.4, 0.3), 1 / 5)
+    for sweep in range(3):
+        total = start.seated(own.sums(), sweep)
+        word, _, pair = own.predicted(total)
+        assert math.isclose(word.sum(), 1.0, rel_tol=1e-9)
+        assert np.allclose([pair[pairs.codes == c].sum() for c in codes], 1.0)
+        own = own.swept(total, sweep + 1)
 
 
 def test_language_model_of_nothing(spark, tmp_path):
@@ -207,8 +338,15 @@ def test_language_model_of_nothing(spark, tmp_path):
     assert hpylm.op9_hpylm(spark, str(tmp_path)).collect() == []
 
 
-def test_frequent_pairs_do_not_depend_on_partitions(spark, monkeypatch):
-    monkeypatch.setattr(hpylm, "FREQUENT", 12)
+def test_language_model_without_training_texts(spark):
+    from pyspark.sql import functions as F
+
+    found, corpus = hpylm.score_corpus(frame(spark, ["a b", None]).withColumn("p", F.lit(1)), F.lit(True))
+    rows = sorted(map(tuple, found.collect()))
+    assert corpus.tokens == 0 and [r[:4] for r in rows] == [(0, True, 3, 0), (1, True, 1, 0)] and all(math.isfinite(r[5]) for r in rows)
+
+
+def test_frequent_pairs_do_not_depend_on_partitions(spark):
     rng = random.Random(5)
     texts = []
     for source in range(8):  # each with frequent words of its own, and a few of all the others
@@ -222,12 +360,12 @@ def test_frequent_pairs_do_not_depend_on_partitions(spark, monkeypatch):
         for a, b in zip(near, near[1:]):
             want[a, b] += 1
     whole = frame(spark, texts).coalesce(1)
-    classes = hpylm.frequent_classes(whole)
+    classes = hpylm.frequent_classes(whole, top)
     assert set(classes) == set(top)
     for df in (whole, frame(spark, texts).repartitionByRange(8, "doc_id")):
-        assert hpylm.frequent_words(df) == top and (hpylm.frequent_pairs(df, top) == want).all()
-        assert hpylm.frequent_classes(df) == classes
-    assert hpylm.frequent_classes(whole.limit(0)) == {}
+        assert hpylm.frequent_words(df, most=12) == top and (hpylm.frequent_pairs(df, top) == want).all()
+        assert hpylm.frequent_classes(df, top) == classes
+    assert hpylm.frequent_words(whole.limit(0)) == [] and hpylm.frequent_classes(whole.limit(0), []) == {}
 
 
 # -- quality
