@@ -90,21 +90,28 @@ class BoostedTrees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a non-decreasing map from score to probability: adjacent violators are pooled."""
+    """Knots of a non-decreasing map from score to probability: adjacent violators are pooled.
+
+    Each pool has its first and its last score as knots, so that the map is flat
+    within it and rises only between pools.
+    """
     if not len(score):
         return np.array([0.0]), np.array([0.5])
-    order = np.argsort(score, kind="stable")
-    values, weights, knots = [], [], []
-    for s, t in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        values.append(float(t)), weights.append(1.0), knots.append(s)
+    names, place, times = np.unique(score, return_inverse=True, return_counts=True)  # one score has one value
+    values, weights, first, last = [], [], [], []
+    for s, v, w in zip(names.tolist(), (np.bincount(place, y) / times).tolist(), times.tolist(), strict=True):
+        values.append(v), weights.append(float(w)), first.append(s), last.append(s)
         while len(values) > 1 and values[-2] >= values[-1]:
-            v, w = values.pop(), weights.pop()
-            knots.pop()
+            v, w, end = values.pop(), weights.pop(), last.pop()
+            first.pop()
             values[-1] = (values[-1] * weights[-1] + v * w) / (weights[-1] + w)
             weights[-1] += w
+            last[-1] = end
     rate = float(y.mean())
-    smooth = [(v * w + prior * rate) / (w + prior) for v, w in zip(values, weights, strict=True)]
-    return np.array(knots), np.maximum.accumulate(np.array(smooth))
+    smooth = np.maximum.accumulate([(v * w + prior * rate) / (w + prior) for v, w in zip(values, weights, strict=True)])
+    knots = np.stack([first, last], axis=1).ravel()
+    keep = np.append(True, np.diff(knots) > 0)  # a pool of one score has one knot
+    return knots[keep], np.repeat(smooth, 2)[keep]
 
 
 def calibrated(score: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarray:

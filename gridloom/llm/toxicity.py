@@ -4,10 +4,13 @@ From a bounded sample of labelled documents come a lexicon (words and word
 beginnings whose log-odds of a toxic document are high), trees over densities
 of the lexicon, its nearness to words of address, capitals, punctuation and
 obfuscation rates, and an isotonic map from the trees' score to a
-probability, fitted on a fourth of the sample that the trees don't see.
+probability, fitted on a fourth of the sample that neither lexicon nor trees see
+(they do where the other three fourths lack one of the classes).
 The score of a document depends on its text alone.
 
-Null and empty texts have features of 0 and get that score. Without labelled
+Null and empty texts have features of 0 and get that score. Repeated rows get the
+same score. A text of any length is read whole, in one piece. A column called as the
+score is replaced; other columns pass through. Without labelled
 rows every document gets 0.5 - toxic only by name, and the model says that it
 has learnt nothing - and with rows of one class that class's smoothed rate.
 """
@@ -167,8 +170,12 @@ def _counted(sample: DataFrame) -> list[tuple[str, int, int]]:
 
 
 def fit_toxicity(sample: DataFrame, trees: int = 60) -> ToxicityModel:
-    """A model from (doc_id, text, y); features come to the driver, of at most SAMPLE_ROWS documents."""
-    lexicon = dict(_counted(sample))
+    """A model from (doc_id, text, y); features come to the driver, of at most SAMPLE_ROWS documents.
+
+    The rows that the isotonic map is fitted on have no part in the lexicon and the trees.
+    """
+    fourth = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4))
+    lexicon = dict(_counted(sample.where(fourth != 0)) or _counted(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(lexicon)
@@ -176,7 +183,7 @@ def fit_toxicity(sample: DataFrame, trees: int = 60) -> ToxicityModel:
             x = [features(t, read) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    rows = sample.mapInArrow(run, "doc_id long, y int, x array<double>").withColumn("h", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4))).orderBy("doc_id").toArrow()
+    rows = sample.mapInArrow(run, "doc_id long, y int, x array<double>").withColumn("h", fourth).orderBy("doc_id").toArrow()
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(rows.num_rows, FEATURES)
     y, held = rows.column("y").to_numpy().astype(float), rows.column("h").to_numpy() == 0
     if not rows.num_rows:
@@ -206,7 +213,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", scor
 
 
 def fold(id: str = "doc_id") -> Column:
-    return F.crc32(F.col(id).cast("string")) % 5
+    return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit(""))) % 5
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -458,7 +459,30 @@ def test_boosting_sql_and_isotonic(spark):
     got = [r[0] for r in df.selectExpr(f"({model.sql(list('abcd'))}) AS s").collect()]
     assert np.allclose(got, model.score(x[:50]), atol=1e-6)
     knots, values = gbt.isotonic(model.score(x), y)
-    assert (np.diff(values) >= 0).all() and 0 <= values.min() and values.max() <= 1
+    assert (np.diff(values) >= 0).all() and (np.diff(knots) > 0).all() and 0 <= values.min() and values.max() <= 1
+
+
+def test_isotonic_map_of_small_samples_is_flat_within_pools():
+    score = np.append(np.linspace(-5, 0, 90), np.linspace(3, 4, 10))
+    y = np.append(np.zeros(90), np.ones(10))
+    knots, values = gbt.isotonic(score, y)
+    p = gbt.calibrated(score, knots, values)
+    assert (p[:90] < 0.05).all() and (p[90:] > 0.9).all()
+    assert gbt.calibrated(np.array([-9.0, 9.0]), knots, values).tolist() == [values[0], values[-1]]
+    # pools by brute force: the least of the averages to the right of the greatest of those to the left
+    rng = np.random.default_rng(2)
+    score, y = rng.integers(0, 8, 40).astype(float), rng.integers(0, 2, 40).astype(float)
+    names = np.unique(score)
+    mean = lambda a, b: y[(score >= names[a]) & (score <= names[b])].mean()
+    want = [max(min(mean(i, j) for j in range(k, len(names))) for i in range(k + 1)) for k in range(len(names))]
+    assert np.allclose(gbt.calibrated(names, *gbt.isotonic(score, y, prior=0.0)), want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_clean_documents_are_left_alone(spark):
+    got = toxicity.op10_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    clean, toxic = [r.predicted for r in got if not r.toxic], [r.predicted for r in got if r.toxic]
+    assert len(clean) > 50 and sum(clean) < 0.05 * len(clean) and sum(toxic) > 0.5 * len(toxic)
 
 
 # -- nearest neighbours
