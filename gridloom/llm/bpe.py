@@ -16,20 +16,28 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
 import regex
+from xxhash import xxh64_intdigest
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import pieces, table, texts_of
+from gridloom.llm.repeats import Hashed
 
-#: Stretches of text whose ids a worker keeps; beyond it the store starts anew.
-CACHED_CHUNKS = 200_000
+#: Stretches of text whose ids a worker keeps, in about 30 bytes each; beyond it the store starts anew.
+CACHED_CHUNKS = 600_000
+#: Bytes of text that are hashed at once, and of a stretch that the fast hash is trusted with.
+HASHED_BYTES, SHORT = 1 << 19, 200
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Separators that str.split() takes for white space and the vocabulary doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: White space beyond ASCII's.
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 END = "</w>"
 _NONE = np.int32(2**31 - 1)
 
@@ -81,18 +89,17 @@ class WordBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.known, self.known_at = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         self.flat = np.empty(0, dtype=np.uint16)
         self.starts = np.zeros(1, dtype=np.int64)
-        for token, i in self.specials.items():
-            self.index[token] = len(self.index)
-            self.flat = np.append(self.flat, np.uint16(i))
-            self.starts = np.append(self.starts, len(self.flat))
 
-    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word's begin (one more than words)."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+        if len(data) > lengths.sum():  # from code points to bytes
+            begins = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+            lengths = np.diff(begins[np.append(0, np.cumsum(lengths))])
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         symbol = self.inner[data]
         ends = np.cumsum(lengths) - 1
@@ -135,51 +142,95 @@ class WordBpe:
         counts = np.bincount(word, minlength=len(words))
         return symbol[order].astype(np.uint16), np.append(0, np.cumsum(counts))
 
-    def words(self, chunk: str) -> list[str]:
-        """The words of a text's stretch without white space."""
-        return [chunk] if chunk.isalpha() else WORD.findall(chunk)
-
-    def chunks(self, text: str) -> list[str]:
-        """A text's stretches without white space, normalised; no word crosses white space."""
-        out: list[str] = []
-        parts = self.special_split.split(text) if self.special_split and "<|" in text else [text]
-        for part in parts:
+    def _plain(self, part: str) -> str:
+        """Normalised, in lower case."""
+        if not part.isascii():
+            part = unicodedata.normalize("NFC", part)
+            if "Σ" in part:  # lower-cased on its own, whatever follows
+                part = "".join(map(str.lower, part))
+        return part.lower()
+
+    def _rare(self, text: str) -> np.ndarray:
+        """A text's ids, where it may hold special tokens or odd separators."""
+        out: list[np.ndarray] = []
+        for part in self.special_split.split(text) if self.special_split else [text]:
             if part in self.specials:
-                out.append(part)
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                    if "Σ" in part:  # lower-cased on its own, whatever follows
-                        part = "".join(map(str.lower, part))
-                part = part.lower()
-                out += WORD.findall(part) if ODD_SPACE.search(part) else part.split()
+                out.append(np.array([self.specials[part]], dtype=np.uint16))
+            elif words := WORD.findall(self._plain(part)):
+                each = list(dict.fromkeys(words))
+                ids, starts = self.merge_words(each)
+                number = dict(zip(each, range(len(each)), strict=True))
+                at = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+                out.append(gather(ids, starts[at], starts[at + 1]))
+        return np.concatenate(out) if out else np.empty(0, dtype=np.uint16)
+
+    def _hashes(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of stretches, from sums over short pieces of the text."""
+        out = np.empty(len(begin), dtype=np.uint64)
+        at = 0
+        while at < len(begin):
+            to = max(at + 1, int(np.searchsorted(end, begin[at] + HASHED_BYTES, side="right")))
+            out[at:to] = Hashed(data[begin[at] : end[to - 1]]).of(begin[at:to] - begin[at], end[at:to] - begin[at])
+            at = to
+        for i in np.flatnonzero(end - begin > SHORT).tolist():
+            out[i] = xxh64_intdigest(data[begin[i] : end[i]].tobytes())
+        return out
+
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """Adds stretches to the store; their places there."""
+        # Stretches of letters are one word each; others are cut. No word crosses white space.
+        whole = list(map(str.isalpha, chunks))
+        plain, cut = list(compress(chunks, whole)), list(compress(chunks, map(not_, whole)))
+        words = list(map(WORD.findall, cut))
+        each = plain + list(set(chain.from_iterable(words)).difference(plain))
+        number = dict(zip(each, range(len(each)), strict=True))
+        ids, starts = self.merge_words(each)
+        counts = np.append(np.ones(len(plain), dtype=np.int64), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        at = np.append(np.arange(len(plain)), np.fromiter(map(number.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(counts[len(plain) :].sum())))
+        size = np.append(0, np.cumsum(starts[at + 1] - starts[at]))
+        base = len(self.starts) - 1
+        self.starts = np.concatenate([self.starts, len(self.flat) + size[np.cumsum(counts)]])
+        self.flat = np.concatenate([self.flat, gather(ids, starts[at], starts[at + 1])])
+        order = np.array(whole, dtype=bool)
+        out = np.empty(len(chunks), dtype=np.int64)
+        out[order], out[~order] = base + np.arange(len(plain)), base + len(plain) + np.arange(len(cut))
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids, as 16-bit numbers."""
-        if len(self.index) > self.cached_chunks:
+        if len(self.known) > self.cached_chunks:
             self._forget()
-        split = [self.chunks(t) for t in texts]
-        new = list(set().union(*split) - self.index.keys())
-        if new:
-            words = [self.words(c) for c in new]
-            each = list(set().union(*words))
-            number = dict(zip(each, range(len(each)), strict=True))
-            ids, starts = self.merge_words([w.encode() for w in each])
-            flat = [number[w] for ws in words for w in ws]
-            at = np.array(flat, dtype=np.int64)
-            counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            size = np.append(0, np.cumsum(starts[at + 1] - starts[at]))
-            base = len(self.index)
-            self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + size[np.cumsum(counts)]])
-            self.flat = np.concatenate([self.flat, gather(ids, starts[at], starts[at + 1])])
-        find = self.index.__getitem__
-        at = np.array(list(map(find, chain.from_iterable(split))), dtype=np.int64)
+        parts, rare = [], {}
+        for i, text in enumerate(texts):
+            if ("<|" in text and self.specials) or ODD_SPACE.search(text):
+                rare[i] = self._rare(text)
+                parts.append(b"")
+                continue
+            text = self._plain(text)
+            parts.append((text if text.isascii() else WIDE_SPACE.sub(" ", text)).encode())
+        joined = b" ".join(parts)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        space = _SPACE[data]
+        begin, end = np.flatnonzero(~space & np.append(True, space[:-1])[: len(space)]), np.flatnonzero(~space & np.append(space[1:], True)[: len(space)]) + 1
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        first = np.searchsorted(begin, np.append(0, np.cumsum(sizes + 1)))
+        hashes, found, place = np.unique(self._hashes(data, begin, end), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        old = self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), dtype=bool)
+        where = self.known_at[at] if len(self.known) else np.zeros(len(hashes), dtype=np.int64)
+        new = np.flatnonzero(~old)
+        if len(new):
+            where[new] = self._learn([joined[b:e].decode() for b, e in zip(begin[found[new]].tolist(), end[found[new]].tolist(), strict=True)])
+            inside = np.searchsorted(self.known, hashes[new])
+            self.known, self.known_at = np.insert(self.known, inside, hashes[new]), np.insert(self.known_at, inside, where[new])
+        at = where[place]
         begin, end = self.starts[at], self.starts[at + 1]
         ids = gather(self.flat, begin, end)
-        last = np.append(0, np.cumsum(end - begin))[np.cumsum(list(map(len, split)), dtype=np.int64)] if split else []
-        return np.split(ids, last[:-1]) if split else []
+        last = np.append(0, np.cumsum(end - begin))[first[1:]]
+        out = np.split(ids, last[:-1]) if texts else []
+        for i, own in rare.items():
+            out[i] = own
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The vocabulary has no decoder: its tokens, with a space between."""

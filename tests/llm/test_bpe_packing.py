@@ -117,3 +117,16 @@ def test_paths_go_to_the_best_neighbour_of_all():
             node = min(((-weight[node, j], degree[j], j) for j in range(300) if weight[node, j] and j not in seen), default=(0, 0, None))[2]
     assert packing.walk(graph) == want
     assert packing.walk(packing.neighbours(np.empty((0, 8), np.int32))) == []
+
+
+def test_spaces_and_rare_stretches_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    texts = ["a\x1cb \x85c\xa0d e f　g", "İstanbul ΣΑΣ Σ <|endoftext|> x<|y", "a" * 1000 + " " + "b" * 300, "é́ ﬁ", "", " \n", "don't I'll 12 3.5", "a b a b", "<|x", "ab\x1f"]
+    model, lib = bpe.WordBpe(bpe.default_vocabulary(), cached_chunks=3), Tokenizer.from_file(bpe.default_vocabulary())
+    lib.no_truncation()
+    lib.no_padding()
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # from an empty store, and from one
+        assert [x.tolist() for x in model.encode(texts)] == want
+    assert model.encode([]) == [] and [x.tolist() for x in model.encode([""])] == [[]]
