@@ -9,7 +9,8 @@ threshold get an exact count.
 
 A line is what stands between line feeds, byte for byte. A null text stays null
 and has no lines; null sites are one site, of no name. ``doc_id`` tells documents
-apart: rows with a null id keep their text. Other columns pass through.
+apart: rows with a null id keep their text, and repeated rows lose the same lines.
+A document of any length is cut within its task. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ BROADCAST_LINES = 200_000
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def _near(lines: DataFrame) -> DataFrame:
+    """Broadcast where the lines are few, which is counted, so that their many places aren't shuffled to find them."""
+    return F.broadcast(lines) if lines.count() <= BROADCAST_LINES else lines
+
+
 def boilerplate(docs: DataFrame, sites: int = SITES, id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
     """(id, gone): the positions, from 0, of the lines that a document loses."""
     # The scan can't hold what a column of the input is called, so names are of our own from here.
@@ -35,18 +41,18 @@ def boilerplate(docs: DataFrame, sites: int = SITES, id: str = "doc_id", text: s
     lines = rows.select("id", "site", F.posexplode(F.split("t", "\n", -1)).alias("no", "line")).where(F.col("line").rlike(_WORD))
     lines = lines.select("id", "site", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(9), "line").alias("g"))
     often = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi")).where((F.col("n") >= sites) & (F.col("lo") != F.col("hi"))).select("h", "g")
-    lines = written(lines.join(often, ["h", "g"]), "lines")
+    # A table of its own, so that a line of very many rows is broadcast to, or else dealt anew by the join.
+    often = written(often, "often")
+    lines = written(lines.join(_near(often), ["h", "g"]), "lines")
     spread = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", REGISTERS_LOG2).alias("sketch")).select("h", "g", F.hll_sketch_estimate("sketch").alias("estimate"))
     spread = written(spread.where(F.col("estimate") >= sites * (1 - NEAR)), "spread")
     close = spread.where(F.col("estimate") <= sites * (1 + NEAR)).select("h", "g")
-    exact = lines.join(close, ["h", "g"]).select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h", "g")
+    exact = lines.join(_near(written(close, "close")), ["h", "g"]).select("h", "g", "site").distinct().groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("h", "g")
     wide = written(spread.where(F.col("estimate") > sites * (1 + NEAR)).select("h", "g").unionByName(exact), "wide")
-    # Where the lines are few, which is counted, their many places aren't shuffled to find them.
-    near = F.broadcast if wide.count() <= BROADCAST_LINES else lambda df: df
-    found = lines.join(near(wide), ["h", "g"])
+    found = lines.join(_near(wide), ["h", "g"])
     # The first place of each line in two plain minima, which are summed up before they are dealt out.
-    first = found.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first"))
-    gone = found.join(near(first), ["h", "g"]).where((F.col("id") != F.col("first.id")) | (F.col("no") != F.col("first.no")))
+    first = written(found.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first")), "first")
+    gone = found.join(_near(first), ["h", "g"]).where((F.col("id") != F.col("first.id")) | (F.col("no") != F.col("first.no")))
     return gone.groupBy("id").agg(F.collect_set("no").alias("gone"))
 
 
