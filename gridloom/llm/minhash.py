@@ -164,9 +164,18 @@ def _across(members: DataFrame, floor: float, best: int | None, reach: float) ->
         found_a, found_b = [], []
         names, size = np.unique(comps, return_counts=True)
         largest = names[size.argmax()]
-        same = np.array_equal(left, right)
-        if same:  # a pair within the largest component is none
-            left = left[comps[left] != largest]
+        # Pairs within the largest component are none: each side is held against the other's rest.
+        inner = left[comps[left] == largest] if not np.array_equal(left, right) else left[:0]
+        rest = right[comps[right] != largest]
+        left = left[comps[left] != largest]
+        for one, other in ((left, right), (inner, rest)):
+            against(one, other, ids, comps, sigs, leaders, far, found_a, found_b)
+        if not found_a:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def against(left, right, ids, comps, sigs, leaders, far, found_a, found_b) -> None:
         step = max(1, (1 << 22) // max(1, len(right) * sigs.shape[1]))
         for at in range(0, len(left), step):
             rows = left[at : at + step]
@@ -181,10 +190,6 @@ def _across(members: DataFrame, floor: float, best: int | None, reach: float) ->
                 rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
                 i, j = i[rank < best], j[rank < best]
             found_a.append(ids[rows[i]]), found_b.append(ids[right[j]])
-        if not found_a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
