@@ -10,8 +10,10 @@ Triggers and phrases (the dictionary) are counted over all documents:
 * a phrase that is found twice or more: all of its strings repeat;
 * a gram whose phrases differ: the strings of one representative of each
   phrase are compared one by one: as neighbours in the order of the phrases'
-  suffixes where a gram's phrases are few, so that they are in one task, and by
-  a distributed count of hashes where they are many.
+  suffixes where a gram's phrases are few, so that they are in one task. Where
+  they are many, each string reaches far to the left or to the right of the gram:
+  hashes of the gram with that half are counted first, and only strings whose half is
+  found again are counted one by one, by a distributed count of hashes.
 
 So strings are compared only where repeats begin and end. The other scans of the
 texts look phrases up in Bloom filters of a fixed size first; the joins that
@@ -28,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bloom_of, bytes_of, mix64, pieces, table, written
+from gridloom.llm.common import bloom_of, bytes_of, forget, mix64, pieces, table, written
 
 LENGTH, GRAM = 200, 64
 #: Phrases of one gram whose strings are counted in one task; of grams with more, all strings are dealt out by their hashes.
@@ -71,10 +73,17 @@ class Hashed:
 
 
 def parse(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    """As ``parsed``, without the trigger's place."""
+    for *phrases, _ in parsed(texts, length, gram):
+        yield tuple(phrases)
+
+
+def parsed(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     """Phrases as (text, begin of its first string, strings, gram hash, phrase hash), and the hashes by segment.
 
     Yields one tuple for each segment of concatenated texts: (hashed, text
-    number, begin in the text, begin in the segment, strings, gram, phrase).
+    number, begin in the text, begin in the segment, strings, gram, phrase, place of the
+    trigger in the phrase).
     """
     most = (1 << SEGMENT_BITS) - 1
     span = length - gram + 1
@@ -115,7 +124,7 @@ def parse(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         phrase = mix64(phrase ^ mix64((place - begin).astype(np.uint64)))
         text = np.array([p[0] for p in own])[part]
         shift = np.array([p[1] for p in own])[part] - begins[part]
-        yield hashed, text, begin + shift, begin, strings, grams[place], phrase
+        yield hashed, text, begin + shift, begin, strings, grams[place], phrase, place - begin
 
 
 def _place(row: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -199,6 +208,21 @@ def _counted_locally(length: int):
     return run
 
 
+def _strings(length: int):
+    """From stretches to their strings, one by one, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "bytes", PARSED_BYTES):
+            size = batch.column("strings").to_numpy()
+            data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), dtype=np.uint8)
+            at = np.repeat(np.cumsum(size + length - 1) - (size + length - 1), size) + _spread(size)
+            hashes = Hashed(data).of(at, at + length)
+            gram, row, begin = (np.repeat(batch.column(c).to_numpy(), size) for c in ("gram", "row", "begin"))
+            yield pa.RecordBatch.from_arrays([pa.array(gram), _signed(hashes), pa.array(row), pa.array(begin + _spread(size)), pa.array(np.ones(len(at), dtype=np.int64))], names=["gram", "hash", "row", "begin", "strings"])
+
+    return run
+
+
 def repeated_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, at): of (row, text), stretches of repeated strings: the first's begin and their number."""
     spark = rows.sparkSession
@@ -212,8 +236,11 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     found = rows.mapInArrow(phrases, "gram long, phrase long, place long")
     # Copies are summed up before they are dealt out, so a phrase's rows are at most one from each task.
     counted = found.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min("place").alias("place"))
-    counted = counted.withColumn("kinds", F.count("*").over(Window.partitionBy("gram")))
-    dictionary = written(counted.where("n > 1 OR kinds > 1"), "dictionary")
+    counted = written(counted, "phrases")
+    # Partial counts, and a join of tables that can be dealt anew: no gram's phrases meet in one task.
+    grams = written(counted.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "grams")
+    dictionary = written(counted.join(grams, "gram", "left").where("n > 1 OR kinds IS NOT NULL").withColumn("kinds", F.coalesce("kinds", F.lit(1))), "dictionary")
+    forget(counted)
     whole = dictionary.where("n > 1").select("gram", "phrase")
     few, many = f"kinds > 1 AND kinds <= {KINDS_AT_ONCE}", f"kinds > {KINDS_AT_ONCE}"
     sizes = dictionary.agg(*(F.count_if(F.expr(e)) for e in ("n > 1", few, many))).first()
@@ -221,22 +248,26 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = whole.mapInArrow(_key_batches, "k long")
     filters = spark.sparkContext.broadcast((bloom_of(keyed, "k", sizes[0]), *(bloom_of(dictionary.where(e), "place", n) for e, n in zip((few, many), sizes[1:], strict=True))))
 
+    half = (length - GRAM) // 2
+
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same, few_kinds, many_kinds = filters.value
         for batch in pieces(batches, "text", PARSED_BYTES):
             row, texts = batch.column("row").to_numpy(), bytes_of(batch.column("text"))
-            for hashed, text, begin, inner, strings, gram, phrase in parse(texts, length):
+            for hashed, text, begin, inner, strings, gram, phrase, trigger in parsed(texts, length):
                 parts = []
                 hit = np.flatnonzero(same.has(_both(gram, phrase)))
                 parts.append((0, gram[hit], phrase[hit], row[text[hit]], begin[hit], strings[hit], [None] * len(hit)))
                 place = _place(row[text], begin)
+                held = lambda hit, b, n: [texts[t][x : x + s + length - 1] for t, x, s in zip(text[hit].tolist(), b.tolist(), n.tolist(), strict=True)]
                 hit = np.flatnonzero(few_kinds.has(place))
-                held = [texts[t][b : b + s + length - 1] for t, b, s in zip(text[hit].tolist(), begin[hit].tolist(), strings[hit].tolist(), strict=True)]
-                parts.append((1, gram[hit], phrase[hit], row[text[hit]], begin[hit], strings[hit], held))
+                parts.append((1, gram[hit], phrase[hit], row[text[hit]], begin[hit], strings[hit], held(hit, begin[hit], strings[hit])))
                 hit = np.flatnonzero(many_kinds.has(place))
-                size = strings[hit]
-                at = np.repeat(inner[hit], size) + _spread(size)
-                parts.append((2, np.repeat(gram[hit], size), hashed.of(at, at + length), np.repeat(row[text[hit]], size), np.repeat(begin[hit], size) + _spread(size), np.ones(len(at), dtype=np.int64), [None] * len(at)))
+                # Strings with more than ``half`` bytes before the gram, then the others.
+                at, left = inner[hit] + trigger[hit], np.clip(trigger[hit] - half, 0, strings[hit])
+                for kind, n, first, here, reach in ((2, left, begin[hit], at - half - 1, at + GRAM), (3, strings[hit] - left, begin[hit] + left, at, at + length - half)):
+                    own = np.flatnonzero(n > 0)
+                    parts.append((kind, gram[hit][own], hashed.of(here[own], reach[own]), row[text[hit[own]]], first[own], n[own], held(hit[own], first[own], n[own])))
                 for kind, gram_, hash_, row_, begin_, strings_, bytes_ in parts:
                     if len(gram_):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram_), kind, np.int32)), _signed(gram_), _signed(hash_), pa.array(row_, pa.int64()), pa.array(begin_, pa.int64()), pa.array(strings_, pa.int64()), pa.array(bytes_, pa.binary())], names=["kind", "gram", "hash", "row", "begin", "strings", "bytes"])
@@ -245,8 +276,10 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     all_of = seen.where("kind = 0").join(whole.withColumnRenamed("phrase", "hash"), ["gram", "hash"], "left_semi").select("row", "begin", "strings")
     edges = seen.where("kind = 1").select("gram", "row", "begin", "strings", "bytes")
     local = edges.repartition("gram").sortWithinPartitions("gram").mapInArrow(_counted_locally(length), "row long, begin long, strings long")
-    singles = seen.where("kind = 2").select("gram", "hash", "row", "begin", "strings")
-    twice = singles.groupBy("gram", "hash").agg(F.count("*").alias("n")).where("n > 1").select("gram", "hash")
+    halves = seen.where("kind > 1").select("kind", "gram", "hash", "row", "begin", "strings", "bytes")
+    again = written(halves.groupBy("kind", "gram", "hash").agg(F.count("*").alias("n")).where("n > 1").select("kind", "gram", "hash"), "halves")
+    singles = written(halves.join(again, ["kind", "gram", "hash"], "left_semi").select("gram", "row", "begin", "strings", "bytes").mapInArrow(_strings(length), "gram long, hash long, row long, begin long, strings long"), "singles")
+    twice = written(singles.groupBy("gram", "hash").agg(F.count("*").alias("n")).where("n > 1").select("gram", "hash"), "twice")
     spread = singles.join(twice, ["gram", "hash"], "left_semi").select("row", "begin", "strings")
     return all_of.unionByName(local).unionByName(spread).groupBy("row").agg(F.collect_list(F.struct("begin", "strings")).alias("at"))
 
@@ -283,9 +316,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id: str = "doc_id", te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             out: list[list] = [[], [], [], []]
-            for t, at in zip(bytes_of(batch.column("text")), batch.column("at").to_pylist(), strict=True):
-                at = at or []
-                begin, strings_ = np.array([x["begin"] for x in at], dtype=np.int64), np.array([x["strings"] for x in at], dtype=np.int64)
+            at = batch.column("at")
+            for i, t in enumerate(bytes_of(batch.column("text"))):
+                own = at[i].values
+                begin, strings_ = (np.empty(0, np.int64),) * 2 if own is None else (own.field(j).to_numpy() for j in (0, 1))
                 for column, value in zip(out, (*uncovered(t, begin, strings_, length), len(t)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out[0], pa.binary()), *(pa.array(out[i], pa.int64()) for i in (3, 1, 2))], names=names)
