@@ -1,10 +1,13 @@
 """Exact top-k by inner product, as a Voronoi join.
 
-Pivots come from a bounded sample by a few k-means rounds. Every vector goes to
-its nearest pivot's group; a group's summary is its size and its radius. A
-query's k-th best score among the sample is a floor that its true k-th best
-can't be under, and ``q.p + |q| * radius`` a ceiling on what a group holds; a
-query is sent only to groups whose ceiling reaches its floor. Groups are cut
+Pivots come from a bounded sample by a few k-means rounds. Every vector, query or not, goes to
+its nearest pivot's group; a group's summary is its size, its radius and that of its queries.
+From the summaries alone come bounds of the scores between a group's queries and
+a group's vectors: groups that surely hold k better ones for all of the queries rule out others. For
+the groups that are left, each query's k-th best score among the sample is a floor that its true k-th best
+can't be under, and ``q.p + |q| * radius`` a ceiling on what a group holds. A part is
+at most ``BLOCK_QUERIES`` queries of one group; a group's vectors are sent only to parts
+with a query whose ceiling reaches its floor. Groups are cut
 into blocks of ``BLOCK_ROWS`` rows, so that a group of any size, such as
 copies of one vector, takes many tasks. Each block gives k rows a query.
 
@@ -76,6 +79,31 @@ def _nearest(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.sqrt(((x - p[group]) ** 2).sum(axis=1)) * scale
 
 
+def _plan(summary: list, lengths: dict, k: int) -> dict:
+    """For each group that has queries: the pivots, sizes and radii of the groups that may hold some of their best."""
+    plan = {}
+    for q in summary:
+        own = [r for r in summary if r.length == q.length]
+        pivots, n, radii = (np.array([getattr(r, c) for r in own]) for c in ("pivot", "n", "radius"))
+        if not q.queries:
+            continue
+        keep = np.ones(len(own), dtype=bool)
+        if q.pivot >= 0:
+            centres = lengths[q.length][2]
+            p, c = centres[q.pivot], centres[np.maximum(pivots, 0)]
+            size = np.sqrt((c * c).sum(axis=1))
+            # A query is p + a, a vector is c + b, with |a| and |b| known at most.
+            spread = q.reach * size + radii * np.sqrt((p * p).sum()) + q.reach * radii
+            spread += SLACK * (spread + np.abs(c @ p) + 1)
+            low, high = np.where(pivots >= 0, c @ p - spread, -np.inf), np.where(pivots >= 0, c @ p + spread, np.inf)
+            order = np.argsort(-low, kind="stable")
+            enough = np.flatnonzero(np.cumsum(n[order]) >= k + 1)  # one of them may be the query itself
+            if len(enough):
+                keep = high >= low[order[enough[0]]]
+        plan[q.length, q.pivot] = pivots[keep], n[keep], radii[keep]
+    return plan
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` where ``queries`` holds."""
     spark = vectors.sparkSession
@@ -101,40 +129,45 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id: str = "vec_id",
 
     assigned = written(valid.mapInArrow(assign, "vec_id long, v array<double>, is_query boolean, length long, pivot long, far double"), "assigned")
     # One row a pivot and length; lengths that the sample lacks have the pivot -1 and are searched whole.
-    summary = assigned.groupBy("length", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.count_if("is_query").alias("queries"))
-    groups = spark.sparkContext.broadcast([(r.length, r.pivot, r.n, r.radius) for r in summary.collect()])
-    asked = sum(r.queries for r in summary.select("queries").collect())
-    parts = max(1, -(-asked // BLOCK_QUERIES))
+    asks = F.when(F.col("is_query"), F.col("far"))
+    summary = assigned.groupBy("length", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.count_if("is_query").alias("queries"), F.coalesce(F.max(asks), F.lit(0.0)).alias("reach")).collect()
+    groups = spark.sparkContext.broadcast(_plan(summary, lengths, k))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, piv, blk, keep = [], [], [], []
-            for i, (own, v) in enumerate(zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True)):
-                x = quantised([v])
-                known = sent.value.get(len(v))
-                floor = -np.inf
-                if known is not None:
-                    got = np.sort(products(x, known[1])[0][known[0] != own])[::-1]
-                    floor = float(got[k - 1]) if len(got) >= k else -np.inf
-                norm = float(np.sqrt((x * x).sum()))
-                for length, pivot, n, radius in groups.value:
-                    if length != len(v):
-                        continue
-                    if pivot >= 0 and np.isfinite(floor):
-                        centre = known[2][pivot]
-                        reach = float((x[0] * centre).sum())
-                        room = SLACK * (norm * (float(np.sqrt((centre * centre).sum())) + radius) + 1)
-                        if reach + norm * radius + room < floor:
-                            continue
-                    for b in range(-(-n // BLOCK_ROWS)):
-                        keep.append(i), piv.append(pivot), blk.append(b)
+            rows = batch.column("v").to_pylist()
+            own = list(zip(batch.column("length").to_pylist(), batch.column("pivot").to_pylist(), strict=True))
+            keep, piv, blk = [], [], []
+            for group in set(own):
+                at = np.array([i for i, g in enumerate(own) if g == group])
+                x, ids = quantised([rows[i] for i in at]), batch.column("vec_id").to_numpy()[at]
+                pivots, sizes, radii = groups.value[group]
+                if group[1] < 0:
+                    reached = np.ones((len(at), len(pivots)), dtype=bool)
+                else:
+                    known, centres = sent.value[group[0]][:2], sent.value[group[0]][2][np.maximum(pivots, 0)]
+                    score = np.where(known[0][None, :] != ids[:, None], products(x, known[1]).astype(float), -np.inf)
+                    floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(at), -np.inf)
+                    norm = np.sqrt((x * x).sum(axis=1))[:, None]
+                    room = SLACK * (norm * (np.sqrt((centres * centres).sum(axis=1)) + radii)[None, :] + 1)
+                    reached = (x @ centres.T + norm * radii[None, :] + room >= floor[:, None]) | (pivots < 0)[None, :]
+                for i, j in zip(*np.nonzero(reached), strict=True):
+                    blocks = -(-int(sizes[j]) // BLOCK_ROWS)
+                    keep += [int(at[i])] * blocks
+                    piv += [int(pivots[j])] * blocks
+                    blk += range(blocks)
             q = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([q.column("vec_id"), q.column("v"), q.column("length"), pa.array(piv, pa.int64()), pa.array(blk, pa.int64())], names=["vec_id", "v", "length", "pivot", "block"])
-
-    routed = assigned.where("is_query").mapInArrow(route, "vec_id long, v array<double>, length long, pivot long, block long").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(parts)))
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("long")
-    data = assigned.join(F.broadcast(summary.select("length", "pivot", "n")), ["length", "pivot"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks))
-    data = data.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).select("vec_id", "v", "length", "pivot", "block", "part")
+            yield pa.RecordBatch.from_arrays([q.column("vec_id"), q.column("v"), q.column("length"), pa.array(piv, pa.int64()), pa.array(blk, pa.int64()), q.column("pivot")], names=["vec_id", "v", "length", "pivot", "block", "own"])
+
+    # Of a proven size: a row a pivot and length.
+    sizes = spark.createDataFrame([(r.length, r.pivot, r.n, -(-r.queries // BLOCK_QUERIES)) for r in summary], "length long, pivot long, n long, parts long")
+    cut = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.greatest("parts", F.lit(1)))
+    routed = assigned.where("is_query").mapInArrow(route, "vec_id long, v array<double>, length long, pivot long, block long, own long")
+    routed = routed.join(F.broadcast(sizes.select("length", F.col("pivot").alias("own"), "parts")), ["length", "own"]).withColumn("part", F.struct("own", cut.alias("cut"))).drop("own", "parts")
+    routed = written(routed, "routed")
+    needed = routed.select("length", "pivot", "part").distinct().toDF("length", "pivot", "part")
+    data = assigned.join(F.broadcast(sizes.select("length", "pivot", "n")), ["length", "pivot"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK_ROWS).cast("long")))
+    data = data.join(needed, ["length", "pivot"]).select("vec_id", "v", "length", "pivot", "block", "part")
     by = ["length", "pivot", "block", "part"]
 
     def solve(asked: pa.Table, rows: pa.Table) -> pa.Table:
