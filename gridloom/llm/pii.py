@@ -7,8 +7,11 @@ expressions; thresholds that reach ``PRECISION`` on held-out examples of each
 kind select spans. Base spans always stay; of chosen candidates that overlap no
 base span, the best are taken one by one, each if it overlaps none taken. No row leaves its task.
 
-A null text has no spans and stays null; an empty text has none. Positions are
-code points. Other columns of the input pass through.
+The time goes with the length of a text and its number of matches. Where more than
+``COMPETING`` candidates overlap in one run, they are gone through in so many from the left.
+
+A null text has no spans and stays null; an empty text has none. Repeated rows have
+the same spans. Positions are code points. Other columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -109,7 +112,6 @@ VALID = {
 }
 
 
-NOTHING = "CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, m: STRING>>)"
 #: What a text must hold for a pattern to be tried on it at all: one quick look instead of two slow ones.
 HINT = {
     "base email": "contains(_t, '@')",
@@ -123,27 +125,95 @@ HINT = {
 }
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _empty(kind: str) -> str:
+    return f"CAST(array() AS ARRAY<{kind}>)"
+
+
+#: Elements that are folded one by one before their results are put together: an array grows by copying, so its length must stay small.
+CHUNK = 64
+
+
+def _chunks(v: str, i: str) -> str:
+    """SQL: an array's chunks, by way of larger ones, as a slice goes through the whole array that it is cut from."""
+    cut = lambda whole, size, at: f"transform(sequence(0, CAST(greatest(size({whole}) - 1, 0) div {size} AS INT)), {at} -> slice({whole}, {at} * {size} + 1, {size}))"
+    return f"flatten(transform({cut(v, CHUNK * CHUNK, i)}, {i}w -> {cut(i + 'w', CHUNK, i)}))"
+
+
+def _fold(items: str, state: str, kind: str, tag: str, step) -> str:
+    """SQL: from an array to all that ``step(state, item)`` puts out, a struct of the next state ``st`` and an array ``out`` of ``kind``.
+
+    In two levels, so that the time goes with the length; ``tag`` keeps names of nested folds apart.
+    """
+    v, i, a, c, r, n, x, q = (tag + letter for letter in "viacrnxq")
+    inner = f"aggregate({c}, struct({a}.st AS st, {_empty(kind)} AS out), ({n}, {x}) -> {_let(step(f'{n}.st', x), q, f'struct({q}.st AS st, concat({n}.out, {q}.out) AS out)')})"
+    all_ = f"aggregate({_chunks(v, i)}, struct({state} AS st, {_empty(f'ARRAY<{kind}>')} AS out), ({a}, {c}) -> {_let(inner, r, f'struct({r}.st AS st, concat({a}.out, array({r}.out)) AS out)')}, {a} -> flatten({a}.out))"
+    return _let(items, v, all_)
+
+
+MATCH = "STRUCT<s: INT, e: INT, m: STRING>"
+CANDIDATE = "STRUCT<s: INT, e: INT, m: STRING, l: STRING, r: STRING>"
+OF_KIND = "STRUCT<s: INT, k: INT, e: INT, m: STRING, l: STRING, r: STRING>"
+SCORED = "STRUCT<s: INT, e: INT, k: INT, p: DOUBLE>"
+SPAN = "STRUCT<s: INT, k: INT, e: INT>"
+
+
 def _matches(text: str, pattern: str, hint: str) -> Column:
     """array<struct<s, e, m>>: the leftmost matches that don't overlap. The texts between them give the positions."""
     found = f"zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (b, m) -> struct(length(b) AS b, m AS m))"
-    step = "IF(x.m IS NULL, a, struct(a.at + x.b + length(x.m) AS at, concat(a.all, array(struct(a.at + x.b AS s, a.at + x.b + length(x.m) AS e, x.m AS m))) AS all))"
-    return F.expr(f"IF({hint}, aggregate({found}, struct(0 AS at, {NOTHING} AS all), (a, x) -> {step}, a -> a.all), {NOTHING})")
+    step = lambda s, x: f"IF({x}.m IS NULL, struct({s} AS st, {_empty(MATCH)} AS out), struct({s} + {x}.b + length({x}.m) AS st, array(struct({s} + {x}.b AS s, {s} + {x}.b + length({x}.m) AS e, {x}.m AS m)) AS out))"
+    return F.expr(f"IF({hint}, {_fold(found, '0', MATCH, 'f', step)}, {_empty(MATCH)})")
 
 
 def _candidates(kind: str) -> Column:
-    """array<struct<s, e, m>>: all candidates of a kind, several at every start; they may overlap.
+    """array<struct<s, e, m, l, r>>: all candidates of a kind, several at every start, with the text to the left and right; they may overlap.
 
     Starts are matches without a width, so the texts between them give the
-    positions; a space in front keeps a start at 0 from being passed over.
+    positions and what is to the left; a space in front keeps a start at 0 from being passed over.
     """
     behind, stretch = WIDE[kind]
-    pattern = f"{behind}(?=({stretch}))"
-    found = f"zip_with(split(concat(' ', _t), r'{pattern}', -1), regexp_extract_all(concat(' ', _t), r'{pattern}', 1), (b, m) -> struct(length(b) AS b, m AS m))"
-    step = "IF(x.m IS NULL, a, struct(a.at + x.b AS at, concat(a.all, array(struct(a.at + x.b AS s, a.at + x.b AS e, x.m AS m))) AS all))"
-    starts = f"aggregate({found}, struct(-1 AS at, {NOTHING} AS all), (a, x) -> {step}, a -> a.all)"
-    parts = ", ".join(f"regexp_extract(x.m, r'{p}', 1)" for p in BEGINNINGS[kind])
-    own = f"flatten(transform({starts}, x -> transform(filter(array({parts}), m -> m <> ''), m -> struct(x.s AS s, x.s + length(m) AS e, m AS m))))"
-    return F.expr(f"IF({HINT[f'wide {kind}']}, {own}, {NOTHING})")
+    pattern, text = rf"{behind}(?=({stretch})([\s\S]{{0,8}}))", "concat(' ', _t)"
+    found = f"zip_with(zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 1), (b, m) -> struct(b AS b, m AS m)), regexp_extract_all({text}, r'{pattern}', 2), (y, z) -> struct(y.b AS b, y.m AS m, z AS z))"
+
+    def step(s: str, x: str) -> str:
+        parts = ", ".join(f"regexp_extract({x}.m, r'{p}', 1)" for p in BEGINNINGS[kind])
+        made = f"transform(filter(array({parts}), m -> m <> ''), m -> struct(g.at AS s, g.at + length(m) AS e, m AS m, right(g.tail, least(24, g.at)) AS l, substring(concat({x}.m, {x}.z), length(m) + 1, 8) AS r))"
+        moved = f"struct({s}.at + length({x}.b) AS at, right(concat({s}.tail, {x}.b), 24) AS tail)"
+        return f"IF({x}.m IS NULL, struct({s} AS st, {_empty(CANDIDATE)} AS out), {_let(moved, 'g', f'struct(g AS st, {made} AS out)')})"
+
+    return F.expr(f"IF({HINT[f'wide {kind}']}, {_fold(found, "struct(-1 AS at, '' AS tail)", CANDIDATE, 'f', step)}, {_empty(CANDIDATE)})")
+
+
+def _apart(candidates: str, base: str) -> str:
+    """SQL: the candidates that overlap no base span. From the left no base span's end, and from the right no base span's begin, may lie within."""
+    nothing = "CAST(NULL AS STRING)"
+    mixed = f"array_sort(concat(transform({base}, x -> struct(x.s AS s, -1 AS k, x.e AS e, {nothing} AS m, {nothing} AS l, {nothing} AS r)), {candidates}))"
+    none = _empty(OF_KIND)
+    right = lambda s, x: f"IF({x}.k < 0, struct(greatest({s}, {x}.e) AS st, array({x}) AS out), struct({s} AS st, IF({x}.s >= {s}, array({x}), {none}) AS out))"
+    left = lambda s, x: f"IF({x}.k < 0, struct(least({s}, {x}.s) AS st, {none} AS out), struct({s} AS st, IF({x}.e <= {s}, array({x}), {none}) AS out))"
+    return f"IF(size({base}) = 0 OR size({candidates}) = 0, {candidates}, {_fold(f'reverse({_fold(mixed, chr(48), OF_KIND, chr(104), right)})', '2147483647', OF_KIND, 'j', left)})"
+
+
+#: Overlapping candidates that compete at once. A longer run of them is gone through from the left.
+COMPETING = 256
+
+
+def _best(scored: str) -> str:
+    """SQL: of scored spans, the best one by one, each if it overlaps none taken; of equals the longer."""
+    none, group = _empty(SCORED), f"ARRAY<{SCORED}>"
+    # Runs in which each span overlaps one before it; the last item closes the last run.
+    items = f"concat(array_sort({scored}), array(struct(2147483647 AS s, 2147483647 AS e, 0 AS k, 0D AS p)))"
+    new = lambda s, x: f"(size({s}.g) > 0 AND ({x}.s >= {s}.far OR size({s}.g) >= {COMPETING}))"
+    step = lambda s, x: f"IF({new(s, x)}, struct(struct(array({x}) AS g, greatest({s}.far, {x}.e) AS far) AS st, array({s}.g) AS out), struct(struct(concat({s}.g, array({x})) AS g, greatest({s}.far, {x}.e) AS far) AS st, {_empty(group)} AS out))"
+    runs = _fold(items, f"struct({none} AS g, 0 AS far)", group, "h", step)
+    ranked = lambda s, x: f"array_sort(transform(filter({x}, w -> w.s >= {s}), w -> struct(-w.p AS p, w.s - w.e AS n, w.s AS s, w.k AS k, w.e AS e)))"
+    taken = lambda s, x: f"aggregate({ranked(s, x)}, {_empty(SPAN)}, (o, w) -> IF(exists(o, y -> w.s < y.e AND y.s < w.e), o, concat(o, array(struct(w.s AS s, w.k AS k, w.e AS e)))))"
+    pick = lambda s, x: _let(taken(s, x), "t", f"struct(greatest({s}, coalesce(array_max(transform(t, y -> y.e)), 0)) AS st, t AS out)")
+    return f"IF(size({scored}) = 0, {_empty(SPAN)}, {_fold(runs, '0', SPAN, 'j', pick)})"
 
 
 def labelled_examples(count: int = EXAMPLES, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
@@ -215,26 +285,26 @@ def _model(examples: int, seed: int) -> tuple[BoostedTrees, dict[str, float]]:
 
 
 def find_pii(df: DataFrame, text: str = "text", examples: int = EXAMPLES, seed: int = 11) -> DataFrame:
-    """``df`` with ``base`` and ``spans``: array<struct<s, k, e>> by start, then kind; ``k`` counts KINDS from 0."""
+    """``df`` with ``base`` and ``spans``: array<struct<s, k, e>> by start, then kind; ``k`` counts KINDS from 0. Columns of these two names are replaced."""
     trees, limits = _model(examples, seed)
-    out = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_d", F.expr("_t RLIKE '[0-9]'"))
+    out = df.select(F.struct(*df.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_d", F.expr("_t RLIKE '[0-9]'"))
     for n, kind in enumerate(KINDS):
         out = out.withColumn(f"_b_{kind}", _matches("_t", BASE[kind], HINT[f"base {kind}"]))
         out = out.withColumn(f"_b_{kind}", F.expr(f"transform(filter(_b_{kind}, x -> {VALID[kind]('x.m')}), x -> struct(x.s AS s, {n} AS k, x.e AS e))"))
-    out = out.withColumn("base", F.array_sort(F.concat(*(f"_b_{k}" for k in KINDS))))
-    around = "substring(_t, greatest(x.s - 23, 1), least(x.s, 24)) AS l, substring(_t, x.e + 1, 8) AS r"
-    for n, kind in enumerate(KINDS):
-        made = f"transform(filter(_w_{kind}, x -> NOT exists(base, b -> x.s < b.e AND b.s < x.e)), x -> struct(x.s AS s, {n} AS k, x.e AS e, x.m AS m, {around}))"
-        featured = f"transform(_w_{kind}, c -> struct(c.s AS s, c.k AS k, c.e AS e, {', '.join(f'{e} AS {f}' for f, e in _format(kind, 'c.m', 'c.l', 'c.r').items())}))"
-        out = out.withColumn(f"_w_{kind}", _candidates(kind)).withColumn(f"_w_{kind}", F.expr(made)).withColumn(f"_w_{kind}", F.expr(featured))
+        out = out.withColumn(f"_w_{kind}", _candidates(kind))
+    out = out.withColumn("_base", F.array_sort(F.concat(*(f"_b_{k}" for k in KINDS))))
+    all_ = ", ".join(f"transform(_w_{kind}, x -> struct(x.s AS s, {n} AS k, x.e AS e, x.m AS m, x.l AS l, x.r AS r))" for n, kind in enumerate(KINDS))
+    out = out.withColumn("_w", F.expr(f"concat({all_})"))
+    out = out.withColumn("_w", F.expr(_apart("_w", "_base")))
+    features = _format("email", "c.m", "c.l", "c.r") | {"kind": "CAST(c.k AS DOUBLE)"}
+    out = out.withColumn("_w", F.expr(f"transform(_w, c -> struct(c.s AS s, c.k AS k, c.e AS e, {', '.join(f'{e} AS {f}' for f, e in features.items())}))"))
     least = ", ".join(f"{limits[k]:.17g}D" if np.isfinite(limits[k]) else "1e9D" for k in KINDS)
-    scored = f"filter(transform(_w, f -> struct(f.s AS s, f.k AS k, f.e AS e, {trees.sql(['f.' + x for x in FEATURES])} AS p)), f -> f.p >= element_at(array({least}), f.k + 1))"
-    out = out.withColumn("_w", F.concat(*(f"_w_{k}" for k in KINDS))).withColumn("_w", F.expr(scored))
-    # The best first, of equals the longer; one is dropped only for one that is kept.
-    ranked = "array_sort(transform(_w, x -> struct(-x.p AS p, x.s - x.e AS n, x.s AS s, x.k AS k, x.e AS e)))"
-    best = f"aggregate({ranked}, CAST(array() AS ARRAY<STRUCT<s: INT, k: INT, e: INT>>), (a, x) -> IF(exists(a, y -> x.s < y.e AND y.s < x.e), a, concat(a, array(struct(x.s AS s, x.k AS k, x.e AS e)))))"
-    out = out.withColumn("spans", F.array_sort(F.concat(F.col("base"), F.expr(best))))
-    return out.drop("_t", "_d", "_w", *(f"_{a}_{k}" for a in "bw" for k in KINDS))
+    scored = f"filter(transform(_w, f -> struct(f.s AS s, f.e AS e, f.k AS k, {trees.sql(['f.' + x for x in FEATURES])} AS p)), f -> f.p >= element_at(array({least}), f.k + 1))"
+    out = out.withColumn("_w", F.expr(scored))
+    # One is dropped only for one that is kept.
+    out = out.withColumn("_spans", F.array_sort(F.concat(F.col("_base"), F.expr(_best("_w")))))
+    kept = [c for c in df.columns if c not in ("base", "spans")]
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in kept), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
 def _named(spans: str) -> str:
@@ -244,11 +314,15 @@ def _named(spans: str) -> str:
 
 def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with each span of ``text`` replaced by its kind in brackets; spans that overlap become one."""
-    found = find_pii(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text")), "_text")
+    found = find_pii(df.select(F.struct(*df.columns).alias("_whole"), F.col(text).alias("_text")), "_text")
     kinds = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
-    step = f"IF(x.s >= a.at, struct(x.e AS at, concat(a.all, array(substring(_text, a.at + 1, x.s - a.at), element_at(array({kinds}), x.k + 1))) AS all), struct(greatest(a.at, x.e) AS at, a.all AS all))"
-    new = F.expr(f"IF(size(spans) = 0, _text, aggregate(spans, struct(0 AS at, CAST(array() AS ARRAY<STRING>) AS all), (a, x) -> {step}, a -> concat(array_join(a.all, ''), substring(_text, a.at + 1))))")
-    return found.select(*(new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in df.columns))
+    # The text is cut at every CHUNK-th span first, so that it isn't gone through anew for each.
+    step = f"IF(x.s >= a.at, struct(x.e AS at, concat(a.all, array(substring(o.piece, a.at - o.at + 1, x.s - a.at), element_at(array({kinds}), x.k + 1))) AS all), struct(greatest(a.at, x.e) AS at, a.all AS all))"
+    inner = f"aggregate(c, struct(o.at AS at, {_empty('STRING')} AS all), (a, x) -> {step}, a -> array_join(a.all, ''))"
+    far = _let("greatest(b.at, array_max(transform(c, x -> x.e)))", "z", "struct(b.at AS at, z AS to, substring(b.rest, 1, z - b.at) AS piece, substring(b.rest, z - b.at + 1) AS rest)")
+    outer = _let(far, "o", f"struct(o.to AS at, o.rest AS rest, concat(b.all, array({inner})) AS all)")
+    new = F.expr(f"IF(size(spans) = 0, _text, aggregate({_chunks('spans', 'i')}, struct(0 AS at, _text AS rest, {_empty('STRING')} AS all), (b, c) -> {outer}, b -> concat(array_join(b.all, ''), b.rest)))")
+    return found.select(*(new.alias(c) if c == text else F.col(f"_whole.`{c}`").alias(c) for c in df.columns))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

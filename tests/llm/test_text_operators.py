@@ -74,6 +74,43 @@ def test_numbers_side_by_side_are_found_as_themselves(spark):
     assert {("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111")} <= set(got[3])
 
 
+def best_by_hand(scored):
+    """The best one by one, each if it overlaps none taken."""
+    taken = []
+    for p, n, start, k, end in sorted((-p, s - e, s, k, e) for s, e, k, p in scored):
+        if not any(start < y[2] and y[0] < end for y in taken):
+            taken.append((start, k, end))
+    return sorted(taken)
+
+
+def test_selection_is_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        spans = [(s, s + rng.randrange(1, 12), rng.randrange(4), rng.choice([0.1, 0.5, rng.random()])) for s in (rng.randrange(200 + 20 * i) for _ in range(rng.randrange(0, 60)))]
+        base = [(s, 0, s + rng.randrange(1, 9)) for s in (rng.randrange(300) for _ in range(rng.randrange(0, 9)))]
+        rows.append((i, spans, sorted(base)))
+    df = spark.createDataFrame(rows, f"i long, w array<{pii.SCORED}>, b array<{pii.SPAN}>")
+    cands = "transform(w, x -> struct(x.s AS s, x.k AS k, x.e AS e, '' AS m, '' AS l, '' AS r))"
+    got = {r.i: r for r in df.selectExpr("i", f"{pii._best('w')} AS best", f"{pii._apart(cands, 'b')} AS apart").collect()}
+    for i, spans, base in rows:
+        assert sorted((x.s, x.k, x.e) for x in got[i].best) == best_by_hand(spans)
+        assert sorted((x.s, x.k, x.e) for x in got[i].apart) == sorted((s, k, e) for s, e, k, _ in spans if not any(s < b[2] and b[0] < e for b in base))
+
+
+@pytest.mark.parametrize("text", ["10.1.2.3 -- ", "555-123-4567 ", "a@b.co "])
+def test_very_many_matches_take_time_in_proportion(spark, text):
+    import time
+
+    found = []
+    for n in (500, 1000, 8000):  # the first one is for warming up
+        began = time.perf_counter()
+        r = pii.redact_pii(frame(spark, [text * n])).first()
+        found.append(time.perf_counter() - began)
+        assert r.text.count("[") >= n * 0.99 and not re.search("[0-9@]", r.text)
+    assert found[2] < 16 * found[1] + 1, found
+
+
 def test_no_python_in_the_plan(spark, capsys):
     pii.find_pii(frame(spark, PII)).explain("formatted")
     assert not re.search("PythonUDF|EvalPython|MapIn|Pandas", capsys.readouterr().out)
