@@ -8,9 +8,11 @@ are summed before they are shuffled.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,8 +133,9 @@ class SheetFrame:
         order = cell.desc() if desc else cell.asc()
         return self.df.where(cell.isNotNull() & F.lit(k > 0)).orderBy(order, self.row).limit(max(0, k))
 
-    def sample_rows(self, k: int, seed: int, total: int | None = None) -> DataFrame:
-        """Exactly min(k, rows) data rows, the same for a seed: numbers are drawn first, then looked up."""
+    def sample_rows(self, k: int, seed: int | None = None, total: int | None = None) -> DataFrame:
+        """Exactly min(k, rows) data rows, the same for a seed (else others each time): numbers are drawn first, then looked up."""
+        seed = secrets.randbits(32) if seed is None else seed
         last = total if total is not None else self.df.count() + 1
         if k >= last - 1:
             return self.df
@@ -182,11 +185,23 @@ class SheetFrame:
         total = F.sum(F.col("x").cast(exact_sum)).cast("double") if exact_sum else F.sum("x")
         return rows.groupBy("group").agg(F.coalesce(total, F.lit(0.0)).alias("sum"), F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.min("r").alias("first_row"))
 
+    def quantiles(self, column: int | str, named: dict[str, float]) -> DataFrame:
+        """Exact, interpolated; one row. Ranges around the ranks are narrowed by sketches until they hold few rows, so no task holds a whole column."""
+        for q in named.values():
+            if not 0 <= q <= 1:
+                raise SheetError("badQuantile", f"{q} is outside of 0 to 1")
+        values = self.df.select(self.number(column, booleans=True).cast("double").alias("x")).where("x IS NOT NULL")
+        n = values.count()
+        if not n:
+            return self.df.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(k) for k in named))
+        ranks = sorted({r for q in named.values() for r in (int((n - 1) * q), min(n - 1, int((n - 1) * q) + 1))})
+        found = selected(values, ranks, n)
+        at = lambda q: (lambda r: found[int(r)] + (r - int(r)) * (found[min(n - 1, int(r) + 1)] - found[int(r)]))((n - 1) * q)
+        return self.df.sparkSession.range(1).select(*(F.lit(float(at(q))).alias(k) for k, q in named.items()))
+
     def quantile(self, column: int | str, q: float) -> DataFrame:
         """Exact, interpolated."""
-        if not 0 <= q <= 1:
-            raise SheetError("badQuantile", f"{q} is outside of 0 to 1")
-        return self.df.agg(F.percentile(self.number(column, booleans=True), F.lit(q)).alias("quantile"))
+        return self.quantiles(column, {"quantile": q})
 
     def median(self, column: int | str) -> DataFrame:
         return self.quantile(column, 0.5).withColumnRenamed("quantile", "median")
@@ -220,14 +235,67 @@ class SheetFrame:
 
     def shard_of(self, count: int, total: int) -> DataFrame:
         """With the number of each row's shard."""
-        ends = [last for _, last in self.shards(count, total)]
-        number = reduce(lambda rest, i: F.when(F.col(self.row) <= ends[i], i).otherwise(rest), range(len(ends) - 2, -1, -1), F.lit(len(ends) - 1))
-        return self.df.withColumn("shard", number)
+        self.shards(count, 1)
+        number = F.expr(f"(`{self.row}` * {count} - 1) div {total}") if total >= count else F.col(self.row) - 1
+        return self.df.withColumn("shard", number.cast("int"))
 
     def rows_for_shard(self, shard: tuple[int, int]) -> DataFrame:
         return self.row_range(*shard)
 
 
+#: Values that are brought to the driver to pick ranks from.
+PICKED = 20_000
+
+
+def selected(values: DataFrame, ranks: list[int], n: int) -> dict[int, float]:
+    """The values of a column ``x`` without nulls at ranks from 0, exactly.
+
+    Each pass takes quantile sketches within the open ranges, counts what is
+    below them and in them, and leaves ranges of about a hundredth.
+    """
+    out: dict[int, float] = {}
+    ends = values.agg(F.min("x"), F.max("x")).first()
+    # (lowest, highest, how many values are lower than the lowest) by ranks
+    ranges = [(float(ends[0]), float(ends[1]), 0, n, list(ranks))]
+    while ranges:
+        small = [r for r in ranges if r[3] <= PICKED]
+        for lo, hi, below, _, own in small:
+            got = sorted(x[0] for x in values.where(F.col("x").between(lo, hi)).collect())
+            out |= {k: got[k - below] for k in own}
+        ranges = [r for r in ranges if r[3] > PICKED]
+        if not ranges:
+            break
+        asked = []
+        for lo, hi, below, size, own in ranges:
+            inside = F.when(F.col("x").between(lo, hi), F.col("x"))
+            shares = [min(1.0, max(0.0, (k - below + 0.5) / size + d)) for k in own for d in (-0.004, 0.004)]
+            asked.append(F.percentile_approx(inside, [float(s) for s in shares], 1000))
+        cuts = values.agg(*(a.alias(f"c{i}") for i, a in enumerate(asked))).first()
+        narrowed = []
+        for (lo, hi, _, _, own), found in zip(ranges, cuts, strict=True):
+            points = sorted({lo, hi, *found})
+            # Between two points, and each point by itself, as a value may fill many ranks.
+            narrowed.append((points, own))
+        counts = values.agg(*(F.count_if(test).alias(f"n{i}_{j}_{e}") for i, (points, _) in enumerate(narrowed) for j, p in enumerate(points) for e, test in (("lt", F.col("x") < p), ("le", F.col("x") <= p)))).first()
+        ranges = []
+        for i, (points, own) in enumerate(narrowed):
+            for k in own:
+                for j, p in enumerate(points):
+                    less, upto = counts[f"n{i}_{j}_lt"], counts[f"n{i}_{j}_le"]
+                    if less <= k < upto:
+                        out[k] = p
+                        break
+                    if k < less:  # strictly between the point before and this one
+                        low = points[j - 1]
+                        ranges.append((float(np.nextafter(low, np.inf)), float(np.nextafter(p, -np.inf)), counts[f"n{i}_{j - 1}_le"], less - counts[f"n{i}_{j - 1}_le"], [k]))
+                        break
+        merged: dict[tuple, list[int]] = {}
+        for lo, hi, below, size, own in ranges:
+            merged.setdefault((lo, hi, below, size), []).extend(own)
+        ranges = [(*r, own) for r, own in merged.items()]
+    return out
+
+
 def draw_rows(lo: int, hi: int, k: int, seed: int) -> list[int]:
     """k distinct numbers of lo .. hi, ascending, by Marsaglia's xorshift32 with the triple 13, 17, 5.
 

@@ -18,7 +18,11 @@ ROW_BYTES = 24
 
 @dataclass
 class IndexedFrame:
-    """A frame with zone maps of some columns, and sketches where they were asked for."""
+    """A frame with zone maps of some columns, and sketches where they were asked for.
+
+    ``zones`` is read by every query, so it should be a table that was written
+    (``shared.stored``); ``columns`` are the mapped ones, found out where they aren't given.
+    """
 
     frame: SheetFrame
     zones: DataFrame
@@ -27,9 +31,10 @@ class IndexedFrame:
     digests: dict = field(default_factory=dict)
     distinct: dict = field(default_factory=dict)
     _on_full_scan: Callable[[dict], None] | None = None
+    columns: tuple[str, ...] | None = None
 
     def __post_init__(self) -> None:
-        self.mapped = {r.column for r in self.zones.select("column").distinct().collect()}
+        self.mapped = set(self.columns) if self.columns is not None else {r.column for r in self.zones.select("column").distinct().collect()}
 
     def on_full_scan(self, callback: Callable[[dict], None]) -> IndexedFrame:
         """``callback`` gets {query, column, reason} whenever a query can't use an index."""
@@ -62,6 +67,39 @@ class IndexedFrame:
     def find_row(self, column, value: float) -> DataFrame:
         return self.rows_where(column, "=", value).orderBy(self.frame.row).limit(1)
 
+    def top_rows(self, column, k: int, desc: bool = False) -> DataFrame:
+        """As the frame's own. Blocks whose worst cells are best hold k rows that are at least as good as the last of these: what is worse isn't read."""
+        name = self.frame.resolve(column)
+        if name not in self.mapped or k < 1:
+            self._tell("topRows", name, "column-not-indexed")
+            return self.frame.top_rows(name, k, desc)
+        worst = F.col("min") if desc else F.col("max")
+        own = self.zones.where((F.col("column") == name) & (F.col("count") > 0)).select(worst.alias("worst"), "count")
+        held, bound = 0, None
+        for r in own.orderBy(F.desc("worst") if desc else F.asc("worst")).limit(k).collect():  # a block has a row at least, so k of them will do
+            held, bound = held + r["count"], r.worst
+            if held >= k:
+                break
+        if held < k:
+            return self.frame.top_rows(name, k, desc)
+        rows = pruned(self.frame, self.zones, [(name, ">=" if desc else "<=", bound)])
+        return SheetFrame(rows, self.frame.row, self.frame.columns, self.frame.key).top_rows(name, k, desc)
+
+    def column_stats(self, column, exact_sum: str | None = None) -> DataFrame:
+        """As the frame's own, from the zone map alone."""
+        name = self.frame.resolve(column)
+        if name not in self.mapped:
+            self._tell("columnStats", name, "column-not-indexed")
+            return self.frame.column_stats(name, exact_sum)
+        total = F.sum(F.col("sum").cast(exact_sum)).cast("double") if exact_sum else F.sum("sum")
+        own = self.zones.where(F.col("column") == name).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.coalesce(total, F.lit(0.0)).alias("sum"), F.coalesce(F.sum("count"), F.lit(0)).alias("count"), F.coalesce(F.sum("other"), F.lit(0)).alias("other"))
+        return own.select("min", "max", "sum", (F.col("sum") / F.nullif("count", F.lit(0))).alias("avg"), "count", "other")
+
+    def quantile(self, column, q: float) -> float | None:
+        """From the digest, without a pass; None where there is no digest."""
+        digest = self.digests.get(self.frame.resolve(column))
+        return None if digest is None else digest.quantile(q)
+
     def estimated_rows(self, column, op: str, value: float, value2: float | None = None) -> dict | None:
         """``upper``, which no answer exceeds, and an ``estimate`` where a sketch gives one; None without a zone map."""
         (own,) = self._checked([(column, op, value, value2)])
@@ -82,23 +120,23 @@ class IndexedFrame:
 
     def explain(self, predicates: list[tuple]) -> dict:
         """How ``rows_where_all`` would run; nothing is read but the zone map."""
-        from gridloom.plans.zonemap import plan_runs
-
         own = self._checked(predicates)
         zoned = any(p[0] in self.mapped for p in own)
         every_block = self.zones.select("block").distinct().count()
         if not zoned:
             return {"strategy": "full-scan", "candidateBlocks": every_block, "prunedBlocks": 0, "runs": 1, "estimatedRows": {"upper": self.total_rows, "estimate": None}, "estimatedBytes": self.total_rows * ROW_BYTES}
-        found = [(r.block, r.first_row, r.last_row) for r in surviving_blocks(self.zones, own).collect()]
-        runs = plan_runs(found)
-        upper = sum(r[3] - r[2] + 1 for r in runs)
+        # A run begins with a block whose neighbour below doesn't survive; only sums come to the driver.
+        blocks = surviving_blocks(self.zones, own)
+        before = blocks.select((F.col("block") + 1).alias("block"), F.lit(1).alias("inner"))
+        found = blocks.join(before, "block", "left").agg(F.count("*").alias("n"), F.count_if(F.col("inner").isNull()).alias("runs"), F.coalesce(F.sum(F.col("last_row") - F.col("first_row") + 1), F.lit(0)).alias("upper")).first()
+        upper = found.upper
         share, known = 1.0, True
         for p in own:
             guess = self.estimated_rows(*p)
             known &= guess is not None and guess["estimate"] is not None
             if known:
                 share *= min(1.0, guess["estimate"] / max(1, self.total_rows))
-        return {"strategy": "zone-map-prune", "candidateBlocks": len(found), "prunedBlocks": every_block - len(found), "runs": len(runs), "estimatedRows": {"upper": upper, "estimate": min(upper, round(self.total_rows * share)) if known else None}, "estimatedBytes": upper * ROW_BYTES}
+        return {"strategy": "zone-map-prune", "candidateBlocks": found.n, "prunedBlocks": every_block - found.n, "runs": found.runs, "estimatedRows": {"upper": upper, "estimate": min(upper, round(self.total_rows * share)) if known else None}, "estimatedBytes": upper * ROW_BYTES}
 
     def group_stats(self, group, value, bucket=None, exact_sum: str | None = None) -> DataFrame:
         """As the frame's own, but blocks that lie in one group are answered from the zone map.

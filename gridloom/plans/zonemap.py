@@ -69,13 +69,22 @@ def plan_runs(blocks: list[tuple[int, int, int]], bridge_rows: int = 0) -> list[
     return [tuple(r) for r in out]
 
 
+#: Surviving blocks whose bounds are brought to the driver.
+MOST_BLOCKS = 10_000
+
+
 def pruned(frame: SheetFrame, zones: DataFrame, predicates: list[tuple], bridge_rows: int = 0, most_runs: int = 500) -> DataFrame:
     """The rows that fit all predicates, read from surviving runs only.
 
     Run bounds become ranges of the row number, which the scan's own
-    statistics prune; with more runs than ``most_runs`` one range holds them all.
+    statistics prune; with more runs than ``most_runs``, or more blocks than
+    ``MOST_BLOCKS``, one range holds them all.
     """
-    found = [(r.block, r.first_row, r.last_row) for r in surviving_blocks(zones, [(frame.resolve(p[0]), *p[1:]) for p in predicates]).collect()]
+    blocks = surviving_blocks(zones, [(frame.resolve(p[0]), *p[1:]) for p in predicates])
+    found = [(r.block, r.first_row, r.last_row) for r in blocks.limit(MOST_BLOCKS + 1).collect()]
+    if len(found) > MOST_BLOCKS:
+        ends = blocks.agg(F.min("first_row"), F.max("last_row")).first()
+        return frame.rows_where_all(predicates).where(frame.rows_between(ends[0], ends[1]))
     runs = plan_runs(found, bridge_rows)
     rows = frame.rows_where_all(predicates)
     if not runs:

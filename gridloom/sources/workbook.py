@@ -23,6 +23,8 @@ _REL = f"{{{_SCHEMAS}/officeDocument/2006/relationships}}id"
 _BUILT_IN_DATES = {*range(14, 23), 45, 46, 47}
 _CELL = re.compile(rb"<c(?=[\s/>])([^>]*?)(?:/>|>(.*?)</c\s*>)", re.S)
 _ATTRIBUTE = re.compile(rb"\b([rts])\s*=\s*[\"']([^\"']*)[\"']")
+#: A cell whose value is a place in the dictionary, in either kind of quotes.
+SHARED = re.compile(rb"""\bt\s*=\s*(?:"s"|'s')""")
 _VALUE = re.compile(rb"<v(?:\s[^>]*)?>(.*?)</v\s*>", re.S)
 _TEXT = re.compile(rb"<t(?:\s[^>]*)?>(.*?)</t\s*>", re.S)
 _PHONETIC = re.compile(rb"<rPh\b.*?</rPh\s*>", re.S)
@@ -141,7 +143,7 @@ class Workbook:
     def header(self, entry: str) -> list[str]:
         strings: list[str] | None = None
         for _, xml in self.raw_rows(entry):
-            if b't="s"' in xml:
+            if SHARED.search(xml):
                 strings = self.strings()
             return [v if t != "b" else ("1" if v else "") for t, v, _ in cells(xml, strings)]
         return []

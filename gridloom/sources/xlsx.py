@@ -18,6 +18,8 @@ sheet, compact, level.
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ from gridloom.errors import SheetError
 from gridloom.functions.semantics import EPOCH_SECONDS, NUMERIC
 from gridloom.operators.chain import chains, offsets
 from gridloom.sources import store
-from gridloom.sources.workbook import Workbook, cells
+from gridloom.sources.workbook import SHARED, Workbook, cells
 from gridloom.sources.writer import WorkbookWriter
 
 _NUMBER = re.compile(NUMERIC)
@@ -217,7 +219,7 @@ class SheetReader(DataSourceReader):
                     break
                 if number == 1 and (part.member or not keep_header):
                     continue
-                if strings is None and b't="s"' in xml:
+                if strings is None and SHARED.search(xml):
                     strings = book.strings()
                 numbers.append(number + part.shift)
                 rows.append(cells(xml, strings))
@@ -270,12 +272,14 @@ class FolderWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.folder = options["path"]
         self.options, self.names, self.overwrite = dict(options), [f.name for f in schema.fields], overwrite
+        # Of this write alone, so that one that is added later replaces nothing, and comes after it by name.
+        self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        final = store.joined(self.folder, f"part-{task.partitionId():05d}.xlsx")
+        final = store.joined(self.folder, f"part-{self.job}-{task.partitionId():05d}.xlsx")
         temporary = f"{final}.{task.taskAttemptId()}.tmp"
         out = WorkbookWriter(temporary, every=int(self.options.get("every", 10_000)), stats=_names(self.options.get("stats")), sketches=_names(self.options.get("sketches")), compact=_flag(self.options, "compact", False), level=int(self.options.get("level", 5)))
         try:
@@ -290,13 +294,13 @@ class FolderWriter(DataSourceArrowWriter):
         return Written(temporary, final, done["rows"], done["bytes"])
 
     def commit(self, messages: list) -> None:
-        if self.overwrite:
-            for name in store.names(self.folder):
-                if name.endswith(".xlsx"):
-                    store.remove(store.joined(self.folder, name))
+        old = [n for n in store.names(self.folder) if n.endswith(".xlsx")] if self.overwrite else []
         for m in messages:
             if m is not None:
                 store.move(m.temporary, m.final)
+        # The new ones are in place before the old ones go.
+        for name in old:
+            store.remove(store.joined(self.folder, name))
 
     def abort(self, messages: list) -> None:
         for m in messages:

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.errors import SheetError
 from gridloom.operators.chain import FULL_SHEET, chained, chains, locate, offsets
+from gridloom.operators import frame as frame_module
 from gridloom.operators.frame import SheetFrame, draw_rows
 from gridloom.plans.planner import IndexedFrame
 from gridloom.plans.zonemap import build_zone_map, plan_runs, pruned
@@ -152,3 +154,40 @@ def test_random_predicates_against_plain_python(spark):
 
     want = [r for r, c in data if (n := number(c)) is not None and 2 <= n <= 6]
     assert rows(own.rows_where("x", "between", 6, 2)) == want
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 90_000])
+def test_quantiles_are_those_of_the_sorted_column(spark, size, monkeypatch):
+    monkeypatch.setattr(frame_module, "PICKED", 500)
+    rng = np.random.default_rng(size)
+    x = np.round(rng.normal(size=size), 3) * (rng.random(size) < 0.7)  # many ties, at 0 most of all
+    own = SheetFrame(spark.createDataFrame([(i + 2, float(v)) for i, v in enumerate(x)], "_row long, x double").repartition(5))
+    asked = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.777, "e": 0.9999, "f": 1.0}
+    got = own.quantiles("x", asked).first()
+    for name, q in asked.items():
+        assert (got[name] is None) if not size else abs(got[name] - np.quantile(x, q)) < 1e-9
+    for bad in (-0.1, 1.1):
+        with pytest.raises(SheetError):
+            own.quantile("x", bad)
+
+
+@pytest.mark.parametrize("count, total", [(8, 8), (3, 10), (7, 7001), (5, 3)])
+def test_shards_by_division_are_the_ranges(spark, count, total):
+    own = SheetFrame(spark.range(2, total + 1).withColumnRenamed("id", "_row").withColumn("x", F.col("_row")))
+    got = {r._row: r.shard for r in own.shard_of(count, total).collect()}
+    want = {r: i for i, (a, b) in enumerate(own.shards(count, total)) for r in range(max(2, a), b + 1)}
+    assert got == want
+
+
+def test_the_index_answers_what_the_frame_does(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i + 2, float(i), None if i % 9 == 0 else float(rng.integers(0, 50))) for i in range(3000)]
+    own = SheetFrame(spark.createDataFrame(rows, "_row long, id double, x double"))
+    plan = IndexedFrame(own, build_zone_map(own, ["id", "x"], 100), 100, 3001)
+    for column in ("id", "x"):
+        assert plan.column_stats(column).first() == own.column_stats(column).first()
+        for k in (0, 1, 7, 450, 5000):
+            for desc in (True, False):
+                assert [tuple(r) for r in plan.top_rows(column, k, desc).collect()] == [tuple(r) for r in own.top_rows(column, k, desc).collect()]
+    assert plan.quantile("x", 0.5) is None and plan.explain([("id", "between", 250, 449)])["runs"] == 1
+    assert plan.explain([("id", "<", -1)])["candidateBlocks"] == 0
