@@ -6,7 +6,7 @@ From the summaries alone come bounds of the scores between a group's queries and
 a group's vectors: groups that surely hold k better ones for all of the queries rule out others. For
 the groups that are left, each query's k-th best score among the sample is a floor that its true k-th best
 can't be under, and ``q.p + |q| * radius`` a ceiling on what a group holds. A part is
-at most ``BLOCK_QUERIES`` queries of one group; a group's vectors are sent only to parts
+at most about ``BLOCK_QUERIES`` queries of one group, or of several that are near each other; a group's vectors are sent only to parts
 with a query whose ceiling reaches its floor. Groups are cut
 into blocks of ``BLOCK_ROWS`` rows, so that a group of any size, such as
 copies of one vector, takes many tasks. Each block gives k rows a query.
@@ -79,6 +79,29 @@ def _nearest(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.sqrt(((x - p[group]) ** 2).sum(axis=1)) * scale
 
 
+def _parts(summary: list, lengths: dict) -> dict:
+    """For each group, the first of its queries' parts and how many there are. Small groups share a part with those next to them."""
+    out, at = {}, 0
+    for length in sorted({r.length for r in summary}):
+        left = sorted((r for r in summary if r.length == length), key=lambda r: r.pivot)
+        centres, filled, here = lengths[length][2] if length in lengths else None, 0, None
+        at += 1
+        while left:
+            if here is None or here.pivot < 0:
+                here = left[0]
+            else:
+                here = min(left, key=lambda r: np.inf if r.pivot < 0 else float(((centres[r.pivot] - centres[here.pivot]) ** 2).sum()))
+            left.remove(here)
+            own = -(-here.queries // BLOCK_QUERIES)
+            if own > 1 or filled + here.queries > BLOCK_QUERIES:
+                at, filled = at + 1, 0
+            out[length, here.pivot] = at, max(1, own)
+            filled += here.queries
+            if own > 1:
+                at, filled = at + own, 0
+    return out
+
+
 def _plan(summary: list, lengths: dict, k: int) -> dict:
     """For each group that has queries: the pivots, sizes and radii of the groups that may hold some of their best."""
     plan = {}
@@ -160,10 +183,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, id: str = "vec_id",
             yield pa.RecordBatch.from_arrays([q.column("vec_id"), q.column("v"), q.column("length"), pa.array(piv, pa.int64()), pa.array(blk, pa.int64()), q.column("pivot")], names=["vec_id", "v", "length", "pivot", "block", "own"])
 
     # Of a proven size: a row a pivot and length.
-    sizes = spark.createDataFrame([(r.length, r.pivot, r.n, -(-r.queries // BLOCK_QUERIES)) for r in summary], "length long, pivot long, n long, parts long")
-    cut = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.greatest("parts", F.lit(1)))
+    dealt = _parts(summary, lengths)
+    sizes = spark.createDataFrame([(r.length, r.pivot, r.n, *dealt[r.length, r.pivot]) for r in summary], "length long, pivot long, n long, first long, parts long")
+    part = F.col("first") + F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.col("parts"))
     routed = assigned.where("is_query").mapInArrow(route, "vec_id long, v array<double>, length long, pivot long, block long, own long")
-    routed = routed.join(F.broadcast(sizes.select("length", F.col("pivot").alias("own"), "parts")), ["length", "own"]).withColumn("part", F.struct("own", cut.alias("cut"))).drop("own", "parts")
+    routed = routed.join(F.broadcast(sizes.select("length", F.col("pivot").alias("own"), "first", "parts")), ["length", "own"]).withColumn("part", part).drop("own", "first", "parts")
     routed = written(routed, "routed")
     needed = routed.select("length", "pivot", "part").distinct().toDF("length", "pivot", "part")
     data = assigned.join(F.broadcast(sizes.select("length", "pivot", "n")), ["length", "pivot"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / BLOCK_ROWS).cast("long")))
