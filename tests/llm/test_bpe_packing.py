@@ -130,3 +130,49 @@ def test_spaces_and_rare_stretches_are_the_librarys():
     for _ in range(2):  # from an empty store, and from one
         assert [x.tolist() for x in model.encode(texts)] == want
     assert model.encode([]) == [] and [x.tolist() for x in model.encode([""])] == [[]]
+
+
+def test_likeliest_neighbours_are_those_of_all_documents(spark):
+    rng = np.random.default_rng(5)
+    sketches = np.unique(rng.integers(0, 9, (400, 8)), axis=0)
+    sketches = np.concatenate([sketches, np.arange(100, 108)[None]]).astype(np.int32)
+    found = {r.node: r.best for r in packing.likeliest(packing.written(spark.createDataFrame([(i, s) for i, s in enumerate(sketches.tolist())], "node long, sketch array<int>"), "sketched")).collect()}
+    weight = (sketches[:, None] == sketches[None]).sum(axis=2)
+    np.fill_diagonal(weight, 0)
+    assert set(found) == {i for i, w in enumerate(weight) if w.any()} == set(range(len(sketches) - 1))
+    assert all(weight[i, j] == weight[i].max() for i, j in found.items())
+
+
+def test_neighbours_of_different_chunks_meet(spark, library, monkeypatch):
+    rng = random.Random(8)
+    words = sorted(w for w in (t.replace("</w>", "") for t in library.get_vocab()) if w.isascii() and w.isalpha() and len(wanted(library, w)) == 1)
+    assert len(words) > 3000
+    texts = {}
+    for i in range(40):
+        own = rng.sample(words, 60)
+        texts[i] = " ".join(own)
+        texts[1000 + i] = " ".join(own[:-20] + rng.sample(words, 20))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(packing, "CHUNK_DOCUMENTS", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        rows = packing.pack_documents(df.repartition(3), bpe.default_vocabulary()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    check_pieces(rows, texts, library)
+    ids = [np.array([*wanted(library, t), 1], dtype=np.uint16) for t in texts.values()]
+    own = packing.sketches(np.concatenate(ids), np.cumsum([0, *map(len, ids[:-1])]))
+    weight = (own[:, None] == own[None]).sum(axis=2)
+    np.fill_diagonal(weight, 0)
+    named, chunks = list(texts), {}
+    for r in rows:  # a chunk's sequences have numbers one after another, and its last ones are shorter and shorter
+        chunks.setdefault(r.sequence_id, set()).add(r.doc_id)
+    order, at = [], None
+    for n in sorted(chunks):
+        size = sum(r.length for r in rows if r.sequence_id == n)
+        if at is None or n != at[0] + 1 or size > at[1] or size == at[1] < 2048:
+            order.append(set())
+        order[-1] |= chunks[n]
+        at = (n, size)
+    together = [any(named[i] in c and any(named[j] in c for j in np.flatnonzero(w == w.max())) for c in order) for i, w in enumerate(weight) if w.any()]
+    assert len(order) > 5 and all(together), (len(order), sum(together), len(together))
