@@ -562,3 +562,17 @@ def test_top_k_of_nothing(spark):
 def test_registry():
     assert sorted(catalog.QUERIES) == sorted([n for n in catalog.QUERIES if re.fullmatch(r"op([1-9]|10)_\w+|pipeline", n)]) and len(catalog.QUERIES) == 11
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_model_tables_are_packed(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(300))) for i in range(40)], "doc_id long, text string")
+    contexts = hpylm.contexts_of(docs)
+    blocks = hpylm.written(hpylm.in_blocks(docs, contexts, 2, F.lit(False)), "blocks")
+    rows = hpylm.lexicon_of(blocks, 2).collect() + blocks.where("bucket IS NOT NULL").collect()
+    for r in rows:
+        codes = hpylm._unpacked(bytes(r.codes), "<u2")
+        assert len(r.counts) < 2 * len(codes) and hpylm._unpacked(bytes(r.sizes), "<u4").sum() == len(codes)
+    for x in (np.array([], "<u2"), np.array([1, 70000, 2**32 - 1], "<u4"), np.array([0, 2**40], "<i8"), np.array([0.5, 1e-30], "<f4")):
+        assert hpylm._unpacked(hpylm._packed(x), x.dtype.str).tolist() == x.tolist()
