@@ -176,3 +176,52 @@ def test_neighbours_of_different_chunks_meet(spark, library, monkeypatch):
         at = (n, size)
     together = [any(named[i] in c and any(named[j] in c for j in np.flatnonzero(w == w.max())) for c in order) for i, w in enumerate(weight) if w.any()]
     assert len(order) > 5 and all(together), (len(order), sum(together), len(together))
+
+
+def left_out(order, sketches):
+    """Pairs that could still be linked: on both their nodes a side has a weaker link than theirs, and no links as strong connect them."""
+    own = sketches[order]
+    links = np.array([0, *(own[1:] == own[:-1]).sum(axis=1), 0])  # in front of each, and behind the last
+    weight = (own[:, None] == own[None]).sum(axis=2)
+    weakest = np.minimum(links[:-1], links[1:])
+    return [(order[i], order[j]) for i, j in np.argwhere(np.triu(weight, 1)) if weight[i, j] > max(weakest[i], weakest[j], 0) and links[i + 1 : j + 1].min() < weight[i, j]]
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 300])
+def test_paths_leave_no_link_out(spark, monkeypatch, at_once):
+    monkeypatch.setattr(packing, "LINKED_AT_ONCE", at_once)
+    rng = np.random.default_rng(7)
+    sketches = np.unique(rng.integers(0, 12, (300, 8)), axis=0)
+    sketches[:120, 3] = 50  # one minimum of very many
+    sketches = np.unique(sketches, axis=0)
+    sketches = np.concatenate([sketches, np.arange(100, 108)[None]]).astype(np.int32)
+    tokens = rng.integers(1, 2048, len(sketches)).tolist()
+    rows = [(i, s, n) for i, (s, n) in enumerate(zip(sketches.tolist(), tokens, strict=True))]
+    starts = {r.node: r.start for r in packing.paths(spark.createDataFrame(rows, "node long, sketch array<int>, tokens long")).collect()}
+    order, at = sorted(starts, key=starts.get), 0
+    assert sorted(order) == list(range(len(sketches)))
+    for i in order:
+        assert starts[i] == at
+        at += tokens[i]
+    assert left_out(order, sketches) == []
+    assert packing.paths(spark.createDataFrame([], "node long, sketch array<int>, tokens long")).collect() == []
+
+
+def test_no_link_is_left_out_between_chunks(spark, library, monkeypatch):
+    rng = random.Random(9)
+    words = sorted(w for w in (t.replace("</w>", "") for t in library.get_vocab()) if w.isascii() and w.isalpha() and len(wanted(library, w)) == 1)
+    own, texts = rng.sample(words, 60), {}
+    for i in range(90):  # each like the one before it and the one after it
+        texts[i] = " ".join(own)
+        own = rng.sample(own, 40) + rng.sample(words, 20)
+    texts[200] = texts[7]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(packing, "CHUNK_DOCUMENTS", 8)
+    rows = packing.pack_documents(df.repartition(3), bpe.default_vocabulary()).collect()
+    check_pieces(rows, texts, library)
+    order = list(dict.fromkeys(r.doc_id for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))))
+    assert abs(order.index(7) - order.index(200)) == 1
+    order.remove(200)
+    ids = {i: np.array([*wanted(library, t), 1], dtype=np.uint16) for i, t in texts.items()}
+    sketches = packing.sketches(np.concatenate([ids[i] for i in range(90)]), np.cumsum([0, *(len(ids[i]) for i in range(89))]))
+    assert left_out(order, sketches) == []
