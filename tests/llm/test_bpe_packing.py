@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gridloom.llm import bpe, packing
+from gridloom.llm import bpe, common, packing
 
 tokenizers = pytest.importorskip("tokenizers")
 pytest.importorskip("public_tokenizers")
@@ -225,3 +227,59 @@ def test_no_link_is_left_out_between_chunks(spark, library, monkeypatch):
     ids = {i: np.array([*wanted(library, t), 1], dtype=np.uint16) for i, t in texts.items()}
     sketches = packing.sketches(np.concatenate([ids[i] for i in range(90)]), np.cumsum([0, *(len(ids[i]) for i in range(89))]))
     assert left_out(order, sketches) == []
+
+
+class Rows:
+    """Stands for a table, so that what a task does with its rows is done here."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_tokenising_and_linking_take_little_memory(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(20_000)])
+    texts = [" ".join(words[rng.integers(0, len(words), 300)]) for _ in range(2000)]
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    run = packing.tokenised(Rows(), bpe.default_vocabulary())
+    bpe.load(bpe.default_vocabulary()).encode(texts[:1])
+    ends = {c: rng.integers(0, 1 << 16, 1 << 18) for c in ("key", "node")}
+    ends |= {"path": ends["node"], "side": np.full(1 << 18, packing.BOTH), "size": np.ones(1 << 18, dtype=np.int64)}
+    tracemalloc.start()
+    try:
+        count = sum(b.num_rows for b in run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])))
+        tokenising = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        assert sum(b.num_rows for b in packing._link(iter([pa.RecordBatch.from_pydict(ends)])))
+        linking = (tracemalloc.get_traced_memory()[1] - before) / (1 << 18)
+    finally:
+        tracemalloc.stop()
+    assert count == len(texts)
+    assert tokenising < 60  # MB, for 4.2 MB of text
+    assert linking < 90  # bytes a row
+
+
+def test_pieces_do_not_depend_on_how_much_is_tokenised_at_once(spark, library, monkeypatch):
+    texts = [t for t in ODD for _ in range(3)] + ["a b c " * (i % 7) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    found = []
+    for size in (1, 200, 1 << 20):
+        monkeypatch.setattr(packing, "TOKENISED_BYTES", size)
+        rows = packing.pack_documents(docs, bpe.default_vocabulary()).collect()
+        check_pieces(rows, dict(enumerate(texts)), library)
+        found.append(sorted(map(tuple, rows)))
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_worker_keeps_one_operators_store():
+    hashes = common.WordHashes()
+    first = hashes.of([b"a", b"b"]).tolist()
+    assert len(hashes) == 2
+    model = bpe.load(bpe.default_vocabulary())
+    assert not hashes and bpe.load(bpe.default_vocabulary()) is model
+    assert hashes.of([b"a", b"b"]).tolist() == first
+    assert bpe.load(bpe.default_vocabulary()) is not model
