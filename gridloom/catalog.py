@@ -249,7 +249,8 @@ _SERIAL_ALL = f"SELECT event_id, {_SERIAL.format('ts')} AS serial, date_trunc('s
 
 
 def _serials(df: DataFrame) -> DataFrame:
-    return df.select("event_id", S.serial_of(F.col("ts")).alias("serial"), S.datetime_of(S.serial_of(F.col("ts"))).alias("back"))
+    """Each event's serial, and its second after a way through a serial; seconds are rounded before it, as a serial keeps them exactly but not halves of them."""
+    return df.select("event_id", S.serial_of(F.col("ts")).alias("serial"), S.moment_of(S.serial_of(S.whole_seconds(F.col("ts")))).alias("back"))
 
 
 query("serial_roundtrip", _SERIAL_ALL)(lambda s, d: _serials(events(s, d).df))

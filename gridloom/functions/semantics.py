@@ -44,13 +44,26 @@ def serial_of(ts: Column) -> Column:
     return (F.unix_micros(ts.cast("timestamp")) / F.lit(1e6) + F.lit(EPOCH_SECONDS)) / F.lit(86400.0)
 
 
-def datetime_of(serial: Column, date1904: bool = False) -> Column:
-    """The timestamp of a serial, to whole seconds; null outside of 0 .. 2,958,465."""
+def whole_seconds(ts: Column) -> Column:
+    """A timestamp to the nearest second, halves to the later one.
+
+    Of microseconds, which are exact: a serial is a double, and those of a day of this
+    century are 0.6 microseconds apart, so half a second can't be told from a bit less.
+    """
+    return F.date_trunc("second", ts.cast("timestamp") + F.expr("INTERVAL '0.5' SECOND"))
+
+
+def moment_of(serial: Column, date1904: bool = False) -> Column:
+    """The timestamp of a serial, to whole seconds. Before 1899-12-30 serials are negative."""
     days = F.floor(serial)
     seconds = F.round((serial - days) * 86400)
     shift = DAYS_1904 if date1904 else 0
-    ts = F.timestamp_seconds((days + F.lit(shift)) * 86400 + seconds - F.lit(EPOCH_SECONDS))
-    return F.when((serial >= 0) & (serial <= LAST_SERIAL), ts)
+    return F.timestamp_seconds((days + F.lit(shift)) * 86400 + seconds - F.lit(EPOCH_SECONDS))
+
+
+def datetime_of(serial: Column, date1904: bool = False) -> Column:
+    """The timestamp of a serial, to whole seconds; null outside of 0 .. 2,958,465."""
+    return F.when((serial >= 0) & (serial <= LAST_SERIAL), moment_of(serial, date1904))
 
 
 def date_of(serial: Column, date1904: bool = False) -> Column:

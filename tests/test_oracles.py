@@ -41,3 +41,16 @@ def test_query_gives_the_rows_of_its_sql(spark, db, name):
 @pytest.mark.parametrize("name, table", [("serial_roundtrip", "events"), ("xlsx_roundtrip", "orders"), ("xlsx_compact", "orders")])
 def test_round_trips_cover_the_whole_table(spark, name, table):
     assert catalog.QUERIES[name](spark, DIR).count() == spark.read.parquet(f"{DIR}/{table}.parquet").count()
+
+
+def test_serials_go_to_the_second_that_sql_gives(spark, db, tmp_path):
+    """Half seconds, a microsecond before them, both ends of the dates of serials and nulls; the two events of 60 copies of the tables that differed are among them."""
+    db.execute(f"""COPY (
+        SELECT row_number() OVER () - 1 AS event_id, CASE WHEN us >= 0 THEN day + to_microseconds(us) END AS ts
+        FROM (SELECT unnest([0, 1, 499999, 500000, 500001, 999999, 46887500000, 9569500000, 86399499999, 86399500000, -1]) AS us),
+        (SELECT unnest(['1600-02-29', '1899-12-29', '1899-12-30', '1969-12-31', '2026-08-17', '2027-12-01', '2079-06-07', '9999-12-30']::TIMESTAMP[]) AS day)
+    ) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    got = catalog.QUERIES["serial_roundtrip"](spark, str(tmp_path)).select("event_id", "serial", "back").orderBy("event_id").collect()
+    want = db.execute(catalog.ORACLES["serial_roundtrip"].replace("FROM events", f"FROM read_parquet('{tmp_path}/events.parquet')") + " ORDER BY event_id").fetchall()
+    assert len(got) == 88
+    assert [tuple(r) for r in got] == want
